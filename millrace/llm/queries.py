@@ -10,6 +10,8 @@ from millrace.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The queries' key; a real corpus gets a secret one.
+PII_KEY = "key of the test queries"
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -20,6 +22,12 @@ def rank_file(name: str = TOKENIZER) -> bytes:
         return f.read()
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,17 +42,70 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.exact_dedup import classify_copies
 
     return classify_copies(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from millrace.llm.language import learnable, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    predicted = predict(docs, train(docs.filter(learnable())))
+    return predicted.select("doc_id", (~learnable()).alias("held_out"), "lang_pred", F.col("score"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near_dedup import classify
+
+    return classify(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 ORACLE = {
+    "op5_warc": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages
+        )
+        SELECT page_id,
+               octet_length(encode(html))::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + (5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM payloads""",
     "op7_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
