@@ -24,7 +24,7 @@ VERDICT = "toxic"
 SAMPLE_ROWS = 8000
 #: Words for each category at most, how often they occur in the sample at least, and how surprising their share of positive rows is.
 FEATURES, LEAST_ROWS, LEAST_Z = 256, 4, 4.0
-FOLDS, PENALTY = 5, 1.0
+FOLDS, PENALTY = 5, 0.05
 
 _WORD = re.compile(r"[^\W\d_]+")
 
