@@ -55,7 +55,7 @@ class _Sql:
         """then: of s.a and s.b, the halves after an even number of rounds, below mod_a and mod_b."""
         start = f"named_struct('a', CAST({a} AS BIGINT), 'b', CAST({b} AS BIGINT), 'ma', CAST({mod_a} AS BIGINT), 'mb', CAST({mod_b} AS BIGINT))"
         moved = f"(s.a + {self.hash(_quoted(kind), 's.ma', 's.mb', 'i', 's.b')} % s.ma) % s.ma"
-        return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> named_struct('a', s.b, 'b', {moved}, 'ma', s.mb, 'mb', s.ma), s -> {then})"
+        return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> named_struct('a', s.b, 'b', {moved}, 'ma', s.mb, 'mb', s.ma), s -> {then})"
 
     def digits(self, kind: str, d: str) -> str:
         """The digit string d of 2 to 36 digits, permuted among those of its length."""
