@@ -31,6 +31,10 @@ _MAYBE = (r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _AT = {c: i for i, c in enumerate(_ALPHABET)}
+#: Vowels, consonants, those in capitals, digits, signs.
+_CLASS = np.array([(not c.islower() and 2) + (c.lower() not in "aeiouy") if c.isalpha() else 4 if c.isdigit() else 5 for c in _ALPHABET])
+#: Transitions for which a class counts beside those seen.
+BACK_OFF = 100
 _PARTS = (
     "get set user name value index count list item node data file path read write open close create delete update insert select table column row "
     "query result error message request response server client config option default buffer stream input output string number format parse print "
@@ -45,7 +49,7 @@ _PARTS = (
 
 
 def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, bool]]:
-    """(string, whether it is random): strings over the alphabets of keys, and identifiers put together of ordinary words."""
+    """(string, whether it is random): strings over the alphabets of keys, and identifiers put together of ordinary words, and some rules of one character."""
     rng = random.Random(seed)
     alphabets = ("0123456789abcdef", _ALPHABET[:62], _ALPHABET[:64], _ALPHABET[26:62], "abcdefghijklmnopqrstuvwxyz0123456789")
     out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randrange(20, 65))), True) for _ in range(n)]
@@ -60,7 +64,9 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, bool]]:
             s = "_".join(parts).upper()
         else:
             s = ("_", "-", "/", "")[style - 2 if style < 5 else 0].join(parts)
-        if rng.random() < 0.3:
+        if rng.random() < 0.03:  # a rule or filler
+            s = rng.choice("-=_/+xXaA0") * rng.randrange(20, 80)
+        elif rng.random() < 0.3:
             s += rng.choice(("_", "-", "")) + str(rng.randrange(0, 3000))
         out.append((s, False))
     return out
@@ -78,13 +84,25 @@ class Markov:
         return float(self.ratio[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
 
+def _transitions(counts: np.ndarray) -> np.ndarray:
+    """Chances of a character after another. Pairs seen rarely lean on how often the classes of characters (vowels, consonants,
+    capitals, digits, signs) follow each other, and on the character's share of its class."""
+    member = (_CLASS[:, None] == np.arange(_CLASS.max() + 1)[None, :]).astype(float)
+    after = member.T @ counts @ member + 1
+    after /= after.sum(axis=1, keepdims=True)
+    own = counts.sum(axis=0) + 1
+    own /= (own @ member)[_CLASS]
+    back_off = after[_CLASS][:, _CLASS] * own[None, :]
+    return (counts + BACK_OFF * back_off) / (counts.sum(axis=1, keepdims=True) + BACK_OFF)
+
+
 def train(samples: Sequence[tuple[str, bool]]) -> Markov:
-    """Transition models with add-half smoothing; the threshold is where the two kinds of samples are told apart best."""
-    counts = np.full((2, len(_AT), len(_AT)), 0.5)
+    """Transition models that back off to classes; the threshold is where the two kinds of samples are told apart best."""
+    counts = np.zeros((2, len(_AT), len(_AT)))
     for text, label in samples:
         codes = [_AT[c] for c in text]
         np.add.at(counts[int(label)], (codes[:-1], codes[1:]), 1)
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    logs = np.log(np.stack([_transitions(c) for c in counts]))
     model = Markov(logs[1] - logs[0], 0.0)
     scores = sorted((model.score(t), label) for t, label in samples)
     # Of all places between neighbours, that with the fewest errors; the middle of them if there are several.
