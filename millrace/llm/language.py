@@ -66,7 +66,8 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score). Nothing learned, null or no letter: ("und", 0). Ties go to the first language in order."""
         words = _WORD.findall((text or "").lower())
-        if not words or not self.languages:
+        # Fractions and other numbers that aren't digits stand in words too, but are no letters.
+        if not self.languages or not any(any(map(str.isalpha, w)) for w in words):
             return "und", 0.0
         if len(self.known) + len(words) > KNOWN_WORDS:
             self.known.clear()

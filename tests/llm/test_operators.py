@@ -412,8 +412,8 @@ def test_languages(spark, documents):
     held = [r for r in got if r["held"]]
     assert len(got) == documents.count() and sum(r["lang_pred"] == r["lang"] for r in held) / len(held) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got)
-    odd = {r["doc_id"]: r for r in rows(predict(frame(spark, [*ODD, "1234 !!", "文"]), model))}
-    assert [odd[i]["lang_pred"] == "und" for i in range(11)] == [True, True, True, False, False, False, False, False, True, True, False]
+    odd = {r["doc_id"]: r for r in rows(predict(frame(spark, [*ODD, "1234 !!", "文", "½ ²"]), model))}
+    assert [odd[i]["lang_pred"] == "und" for i in range(12)] == [True, True, True, False, False, False, False, False, True, True, False, True]
     unlearned = train(documents.filter("false"))
     assert {r["lang_pred"] for r in rows(predict(documents, unlearned))} == {"und"}
     import zlib
