@@ -7,6 +7,7 @@ documents. The models are fitted on a bounded sample of labelled rows; the chain
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -22,16 +23,26 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_qua
 VERDICT = "toxic"
 #: Labelled rows that the models are fitted on at most: those of the smallest hash of their id.
 SAMPLE_ROWS = 8000
-#: Words for each category at most, how often they occur in the sample at least, and how surprising their share of positive rows is.
+#: Features for each category at most, how often they occur in the sample at least, and how surprising their share of positive rows is.
 FEATURES, LEAST_ROWS, LEAST_Z = 256, 4, 4.0
-FOLDS, PENALTY = 5, 0.05
+FOLDS, PENALTY, LEAST_CUT = 5, 0.05, 0.1
 
+#: Stands after a feature that a text has twice or more, which is a feature of its own.
+TWICE = " 2"
+#: Letters of the beginnings of words that are features.
+STEMS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_in(text: str | None) -> set[str]:
-    """The distinct words of a whole text: runs of letters, in lower case."""
-    return set(_WORD.findall((text or "").lower()))
+    """The features of a whole text: its distinct words, which are runs of letters in lower case, and the beginnings of longer
+    ones, so that an inflected word is known by its stem; what occurs again also with TWICE."""
+    counts = Counter(_WORD.findall((text or "").lower()))
+    for w, n in list(counts.items()):
+        for k in STEMS:
+            if len(w) > k:
+                counts[w[:k] + "-"] += n
+    return {*counts, *[f + TWICE for f, n in counts.items() if n > 1]}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 25) -> np.ndarray:
@@ -56,12 +67,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Chain:
-    """weights[k]: of the words in columns[k], then of the earlier categories' log-odds, then the intercept."""
+    """weights[k]: of the words in columns[k], then of the earlier categories' log-odds, then the intercept.
+    cuts[k]: the probability from which on a document is of category k."""
 
     names: tuple[str, ...]
     vocabulary: Mapping[str, int]
     columns: tuple[np.ndarray, ...]
     weights: tuple[np.ndarray, ...]
+    cuts: tuple[float, ...] = ()
+
+    def cut(self, category: str) -> float:
+        return self.cuts[self.names.index(category)] if self.cuts else 0.5
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """[rows, categories] for the presence of words [rows, vocabulary]. A chain that saw no labels says 0."""
@@ -71,13 +87,29 @@ class Chain:
         return out
 
 
-def _odds(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-4, 1 - 1e-4)
+def _odds(p: np.ndarray, least: float = 1e-4) -> np.ndarray:
+    p = np.clip(p, least, 1 - least)
     return np.log(p / (1 - p))
 
 
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that tells the rows apart with the fewest errors; of several the middle of the widest gap, in log-odds.
+    Never below LEAST_CUT or above 1 - LEAST_CUT: between rows that are all far off a bounded sample says little."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(p, kind="stable")
+    odds, y = _odds(p[order], 1e-9), y[order]
+    gap = np.diff(odds)
+    errors = (np.cumsum(y) + (1 - y).sum() - np.cumsum(1 - y))[:-1]  # of a cut after each row
+    errors = np.where(gap > 0, errors, np.inf)
+    if not np.isfinite(errors).any() or errors.min() >= y.sum():
+        return 0.5
+    i = np.argmax(np.where(errors == errors.min(), gap, -1))
+    return min(max(float(_sigmoid((odds[i] + odds[i + 1]) / 2)), LEAST_CUT), 1 - LEAST_CUT)
+
+
 def fit_chain(names: tuple[str, ...], vocabulary: Mapping[str, int], columns: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray) -> Chain:
-    """x: presence of words; y: [rows, categories] of 0 and 1. Rows are dealt to folds in turn."""
+    """x: presence of words; y: [rows, categories] of 0 and 1. Rows are dealt to folds in turn; cuts too come from out-of-fold predictions."""
     fold, earlier, weights = np.arange(len(x)) % FOLDS, np.zeros((len(x), 0)), []
     for k in range(len(names)):
         own = np.column_stack([x[:, columns[k]], _odds(earlier)])
@@ -88,7 +120,7 @@ def fit_chain(names: tuple[str, ...], vocabulary: Mapping[str, int], columns: tu
                 w = fit_logistic(own[fold != f], y[fold != f, k])
                 held[fold == f] = _sigmoid(own[fold == f] @ w[:-1] + w[-1])
         earlier = np.column_stack([earlier, held])
-    return Chain(names, vocabulary, columns, tuple(weights))
+    return Chain(names, vocabulary, columns, tuple(weights), tuple(best_cut(earlier[:, k], y[:, k]) for k in range(len(names))))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: Mapping[str, str] = CATEGORIES, rows: int = SAMPLE_ROWS) -> Chain:
@@ -126,14 +158,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_chain(names, vocabulary, columns, x, y)
 
 
-def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, verdict: str = VERDICT) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None, verdict: str = VERDICT) -> DataFrame:
     """One row for each row of docs: id_col, p_<category> for each category, toxic, kept.
 
     Whole texts are read. A null or empty text has no words: it gets the chain's base rates. Repeated rows give repeated
-    rows; extra columns are not read. A chain without labels says 0 for all.
+    rows; extra columns are not read. A chain without labels says 0 for all. Without a threshold the chain's own cut holds.
     """
     kind = dict(docs.dtypes)[id_col]
     names, at = [f"p_{n}" for n in chain.names], chain.names.index(verdict)
+    threshold = chain.cut(verdict) if threshold is None else threshold
     vocabulary = frozenset(chain.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +183,10 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5, verdict: str = VERDICT) -> DataFrame:
+def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float | None = None, verdict: str = VERDICT) -> DataFrame:
     """The rows of docs that score() keeps, with all their columns; no shuffle, whatever the ids are."""
     at, vocabulary = chain.names.index(verdict), frozenset(chain.vocabulary)
+    threshold = chain.cut(verdict) if threshold is None else threshold
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,6 +243,17 @@ def test_toxic_documents_are_found(spark):
     assert not any(r["toxic"] for r in rows(score(odd, untrained))) and drop_toxic(odd.limit(0), chain).count() == 0
 
 
+def test_features_and_cut():
+    import numpy as np
+
+    from millrace.llm.toxicity import best_cut, words_in
+
+    assert words_in("Foobars foobarly x, X!") == {"foobars", "foobarly", "x", "x 2", "foob-", "foob- 2", "fooba-", "fooba- 2"} and words_in(None) == set()
+    p, y = np.array([0.01, 0.02, 0.2, 0.9, 0.95]), np.array([0.0, 0, 1, 1, 1])
+    assert best_cut(p, y) == 0.1 and best_cut(p, 0 * y) == 0.5 == best_cut(p, 0 * y + 1) == best_cut(0 * p, y)
+    assert 0.2 < best_cut(p, np.array([0.0, 0, 0, 1, 1])) < 0.9 and best_cut(p, np.array([1.0, 0, 0, 0, 0])) == 0.5
+
+
 def test_bounded_training_sample(spark, monkeypatch):
     from millrace.llm import toxicity
 
