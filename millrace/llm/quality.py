@@ -14,8 +14,9 @@ from millrace.llm.shared import WORD, words_of
 
 #: Lines that a site repeats on all its pages.
 BOILERPLATE = (
-    r"(?i)(?:\ball rights reserved\b|\bcookies?\b.{0,60}\b(?:accept|use|policy)\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bclick here\b"
-    r"|\bsubscribe\b|\bsign (?:in|up)\b|\blog ?in\b|\bjavascript\b|\bpowered by\b|\blicensed under\b|\breleased under the\b|^\s*(?:©|\(c\)|copyright)\s)"
+    # The look ahead spares most places the list.
+    r"(?i)(?:(?=[acjlprst])\b(?:all rights reserved|cookies?\b.{0,60}\b(?:accept|use|policy)|privacy policy|terms of (?:use|service)|click here"
+    r"|subscribe|sign (?:in|up)|log ?in|javascript|powered by|licensed under|released under the)\b|^\s*(?:©|\(c\)|copyright)\s)"
 )
 #: Menus and crumbs: words between separators.
 NAVIGATION = r"[|»›·•]"
@@ -36,9 +37,8 @@ class Rules:
     max_lost: float = 0.6
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    """Whether one line, which has a word, is to be removed."""
-    n = F.regexp_count(line, F.lit(WORD))
+def line_fails(line: Column, n: Column, rules: Rules) -> Column:
+    """Whether one line of n words, one at least, is to be removed."""
     return (
         (F.regexp_count(line, F.lit(SYMBOL)) > rules.symbols_per_word * n)
         | (F.regexp_count(line, F.lit(NAVIGATION)) > rules.separators_per_word * n)
@@ -53,16 +53,13 @@ def _base(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("d"))
     rows = rows.select("d", words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    grams = F.when(
-        F.size("words") >= 5,
-        F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.array_join(F.slice(F.col("words"), i, 5), " ")),
-    ).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("d", "words", "lines", grams.alias("grams"))
-    # Only texts that have a window twice are sorted: equal windows are then neighbours, and their places give the words they cover.
-    placed = F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    rows = rows.select(
-        "d", "words", "lines", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), placed).alias("placed")
-    )
+    windows = F.sequence(F.lit(1), F.size("words") - 4)
+    # Hashes of windows tell which texts may have one twice; only those are read window by window and sorted. Equal windows
+    # are then neighbours, and their places give the words they cover.
+    hashes = F.when(F.size("words") > 5, F.transform(windows, lambda i: F.xxhash64(F.slice(F.col("words"), i, 5))))
+    placed = F.array_sort(F.transform(windows, lambda i: F.struct(F.array_join(F.slice(F.col("words"), i, 5), " ").alias("g"), i.alias("i"))))
+    rows = rows.select("d", "words", "lines", hashes.alias("hashes"))
+    rows = rows.select("d", "words", "lines", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), placed).alias("placed"))
     twice = F.filter(
         "placed",
         lambda x, k: ((k > 0) & (F.get("placed", k - 1)["g"] == x["g"])) | ((k + 1 < F.size("placed")) & (F.get("placed", k + 1)["g"] == x["g"])),
@@ -95,8 +92,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     Repeated rows give repeated rows; extra columns may have any name.
     """
     rows = _base(docs, text_col)
-    rows = rows.withColumn("passed", F.filter("lines", lambda x: ~line_fails(x, rules)))
-    left = F.aggregate("passed", F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
+    counted = F.transform("lines", lambda x: F.struct(x.alias("x"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    rows = rows.withColumn("passed", F.filter(counted, lambda x: ~line_fails(x["x"], x["n"], rules)))
+    left = F.aggregate("passed", F.lit(0).cast("long"), lambda n, x: n + x["n"])
     rows = rows.withColumns({
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         "lost_words": F.col("n_words") - left,
@@ -104,6 +102,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     return rows.select(
         F.col(f"d.{id_col}").alias(id_col),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words",
-        F.when(F.col(f"d.{text_col}").isNotNull(), F.array_join("passed", "\n")).alias("clean_text"),
+        F.when(F.col(f"d.{text_col}").isNotNull(), F.array_join("passed.x", "\n")).alias("clean_text"),
         (~F.col("base_failed") & (F.col("lost_words") <= rules.max_lost * F.col("n_words"))).alias("kept"),
     )
