@@ -94,6 +94,38 @@ def queries() -> dict[str, Query]:
 
 
 ORACLE = {
+    "op3_quality_rules": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times
+            FROM (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM texts, unnest(range(1, len(w) - 3)) AS u(i))
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT i + j) AS n FROM windows, range(5) AS r(j) WHERE times > 1 GROUP BY doc_id
+        ), counted AS (
+            SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                   coalesce(c.n, 0) AS n_repeat_words,
+                   list_transform(lines, lambda x: {'x': x, 'n': len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))}) AS lines
+            FROM texts t LEFT JOIN covered c ON t.doc_id = c.doc_id
+        ), judged AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                   coalesce(list_sum(list_transform(list_filter(lines, lambda l:
+                       len(regexp_extract_all(l.x, '[#*$%&|<>]')) > 0.3::DOUBLE * l.n
+                       OR len(regexp_extract_all(l.x, '[|»›·•]')) > 0.3::DOUBLE * l.n
+                       OR len(regexp_extract_all(l.x, '[!?]{2,}')) > 0.3::DOUBLE * l.n
+                       OR l.n < 3 AND NOT regexp_matches(l.x, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$')
+                       OR l.n < 25 AND regexp_matches(l.x, '(?i)(?:\b(?:all rights reserved|cookies?\b.{0,60}\b(?:accept|use|policy)|privacy policy|terms of (?:use|service)|click here|subscribe|sign (?:in|up)|log ?in|javascript|powered by|licensed under|released under the)\b|^\s*(?:©|\(c\)|copyright)\s)')
+                   ), lambda l: l.n)), 0)::BIGINT AS lost_words
+            FROM counted
+        )
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+               n_repeat_words::BIGINT AS n_repeat_words, base_failed, lost_words, NOT base_failed AND lost_words <= 0.6::DOUBLE * n_words AS kept
+        FROM judged""",
     "op5_warc": """
         WITH payloads AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
@@ -114,6 +146,28 @@ ORACLE = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op9_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+        ), shingles AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+        ), pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+            GROUP BY x.doc_id, y.doc_id, x.n, y.n
+            HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+        ), least_of AS (
+            SELECT a, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN least_of ON doc_id = a""",
 }
 
 
