@@ -21,18 +21,43 @@ _WALK = 60
 
 _EDGE = r"(?<![A-Za-z0-9_])"
 _END = r"(?![A-Za-z0-9_])"
+#: Characters of an IBAN by country; where a country isn't listed, the check digits tell where one ends.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "(?:" + "|".join(" ".join(_IBAN_LENGTHS.values()).split()) + ")"
+
+
+def _iban_of(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_IBAN = "(?:" + "|".join(_iban_of(n, c) for n, c in _IBAN_LENGTHS.items()) + f"|(?!{_LISTED})" + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
+_CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: A card may begin after another number and a space only with an issuer's digits in a group of four or more, or ungrouped: else
+#: rows of small numbers would be full of cards.
+_CARD_START = r"(?:(?<![0-9] )|(?=(?:2[2-7]|[3-6][0-9]|81|97)[0-9]{2}|[0-9]{13}))"
 #: By kind, in the order in which they are tried at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "iban": _EDGE + _IBAN + _END,
     "ssn": r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
     "date": r"(?<![A-Za-z0-9_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9_/-])",
     "phone": r"(?<![A-Za-z0-9_+(.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_-])",
     "ip": r"(?<![A-Za-z0-9_.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![A-Za-z0-9_]|\.[0-9])",
-    "card": r"(?<![A-Za-z0-9_.-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_])",
+    "card": r"(?<![A-Za-z0-9_.-])" + _CARD_START + _CARD + _END,
 }
 KINDS = tuple(PATTERNS)
-ANY = "|".join(PATTERNS.values())
+#: Every place where a kind may begin, also within a longer match; group 1 is the longest match there.
+ANY = f"(?=({'|'.join(PATTERNS.values())}))"
+#: Patterns of a match alone, without what stands before it.
+_ALONE = PATTERNS | {"iban": _IBAN, "card": _CARD}
+#: Places whose choices are made in one array, so that texts with very many of them take time in proportion.
+_BLOCK = 256
 
 _DATES = {r"[0-9]{4}-[0-9]{2}-[0-9]{2}": ("yyyy-MM-dd",), r"[0-9]{4}/[0-9]{2}/[0-9]{2}": ("yyyy/MM/dd",), r"[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}": ("dd.MM.yyyy",), r"[0-9]{2}/[0-9]{2}/[0-9]{4}": ("dd/MM/yyyy", "MM/dd/yyyy")}
 
@@ -139,14 +164,40 @@ class _Sql:
         letters = "translate(substr(sha2(concat_ws(':', {0}, '{1}', lower({2})), 256), 1, {3}), '0123456789abcdef', 'bcdfghjklmnpqrst')".format
         return "true", f"concat({letters(self.key, 'mailbox', x, 12)}, '@', {letters(self.key, 'domain', f"substring_index({x}, '@', -1)", 8)}, '.example')"
 
+    def part(self, kind: str, x: str) -> str:
+        """The longest beginning of a match that ends where a number may end and holds the kind's check, or null."""
+        valid, _ = getattr(self, kind)("p")
+        if kind == "card":
+            ends = f"sequence(length({x}), 13, -1)"
+            stop = f"n = length({x}) OR substr({x}, n + 1, 1) IN (' ', '-')"
+        elif kind == "iban":
+            ends = f"IF({x} RLIKE '^{_LISTED}', array(length({x})), sequence(length({x}), 15, -1))"
+            stop = f"n = length({x}) OR substr({x}, n + 1, 1) = ' '"
+        else:
+            return f"IF({getattr(self, kind)(x)[0]}, {x}, NULL)"
+        return f"get(filter(transform(filter({ends}, n -> {stop}), n -> substr({x}, 1, n)), p -> {valid}), 0)"
+
     def pseudonym(self, x: str) -> str:
-        """(kind, text) of a match; kind is null and the text as it was if no kind's pattern and check hold."""
+        """(kind, size, text) of a match: how much of it is replaced by what. kind is null if no kind's pattern and check hold."""
+        none = "named_struct('kind', CAST(NULL AS STRING), 'size', 0, 'text', '')"
         cases = []
         for kind in KINDS:
-            valid, new = getattr(self, kind)(x)
-            whole = PATTERNS[kind]
-            cases.append(f"WHEN {x} RLIKE {_quoted(f'^(?:{whole})$')} AND {valid} THEN named_struct('kind', '{kind}', 'text', {new})")
-        return f"CASE {' '.join(cases)} ELSE named_struct('kind', CAST(NULL AS STRING), 'text', {x}) END"
+            _, new = getattr(self, kind)("v")
+            found = f"CASE WHEN v IS NULL THEN {none} ELSE named_struct('kind', '{kind}', 'size', length(v), 'text', {new}) END"
+            cases.append(f"WHEN {x} RLIKE {_quoted(f'^(?:{_ALONE[kind]})$')} THEN {self.let('v', self.part(kind, x), found)}")
+        return f"CASE {' '.join(cases)} ELSE {none} END"
+
+    @staticmethod
+    def chosen(places: str) -> str:
+        """(kind, text) of each of the places (kind, size, text, piece), where piece reaches to the next place. From left to right the
+        first valid match counts; places within it are part of it, and kind is null there."""
+        cut = "CASE WHEN t.skip > 0 THEN t.skip ELSE e.size END"
+        own = f"named_struct('kind', IF(t.skip > 0, NULL, e.kind), 'text', concat(IF(t.skip > 0, '', e.text), substr(e.piece, {cut} + 1)))"
+        step = f"named_struct('skip', greatest({cut} - length(e.piece), 0), 'out', concat(t.out, array({own})))"
+        nothing = "CAST(array() AS ARRAY<STRUCT<kind: STRING, text: STRING>>)"
+        block = f"aggregate(slice({places}, b * {_BLOCK} + 1, {_BLOCK}), named_struct('skip', u.skip, 'out', {nothing}), (t, e) -> {step}, t -> named_struct('skip', t.skip, 'out', concat(u.out, array(t.out))))"
+        start = "named_struct('skip', 0, 'out', CAST(array() AS ARRAY<ARRAY<STRUCT<kind: STRING, text: STRING>>>))"
+        return f"aggregate(sequence(0, (size({places}) - 1) div {_BLOCK}), {start}, (u, b) -> {block}, u -> flatten(u.out))"
 
 
 def _is(kind: str) -> Callable[[Column], Column]:
@@ -157,20 +208,23 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row for each row of docs: id_col, text (with pseudonyms), n_<kind> for each kind, changed.
 
     Whole texts are read; null stays null. Values that fail their check (Luhn, octets over 255, no such day, ...) stay as they
-    are. The key is needed to map a value again. Repeated rows give repeated rows; extra columns may have any name.
+    are; then shorter ones that end at a separator are tried, and what begins within them. An IBAN has its country's length.
+    The key is needed to map a value again. Repeated rows give repeated rows; extra columns may have any name.
     """
     sql = _Sql(key)
     text = F.col(f"d.{text_col}")
     rows = docs.select(F.struct(*docs.columns).alias("d")).withColumn("some", text.rlike("[0-9@]"))
     nothing = F.array().cast("array<string>")
-    rows = rows.select("d", F.when(F.col("some"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(nothing).alias("hits"))
-    rows = rows.select("d", F.expr(f"transform(hits, x -> {sql.pseudonym('x')})").alias("new"))
-    rows = rows.select("d", "new", F.when(F.size("new") > 0, F.split(text, ANY, -1)).alias("gaps"))
-    pieces = F.transform("gaps", lambda g, i: F.when(i > 0, F.concat(F.get("new", i - 1)["text"], g)).otherwise(g))
-    counts = [F.size(F.filter(F.transform("new", lambda n: n["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    rows = rows.select("d", F.when(F.col("some"), F.regexp_extract_all(text, F.lit(ANY), F.lit(1))).otherwise(nothing).alias("hits"))
+    # Pieces begin at the places; what stands before the first is a piece of its own unless it is empty.
+    rows = rows.select("d", F.expr(f"transform(hits, x -> {sql.pseudonym('x')})").alias("new"), F.when(F.size("hits") > 0, F.split(text, ANY, -1)).alias("pieces"))
+    rows = rows.select("d", F.expr("IF(size(pieces) > size(new), pieces[0], '')").alias("head"), F.expr("transform(new, (n, i) -> named_struct('kind', n.kind, 'size', n.size, 'text', n.text, 'piece', pieces[i + size(pieces) - size(new)]))").alias("places"))
+    rows = rows.select("d", "head", F.when(F.size("places") > 0, F.expr(sql.chosen("places"))).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, text: STRING>>)")).alias("new"))
+    kinds = F.transform("new", lambda n: n["kind"])
+    counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(
         F.col(f"d.{id_col}").alias(id_col),
-        F.when(F.size("new") > 0, F.array_join(pieces, "")).otherwise(text).alias("text"),
+        F.when(F.size("new") > 0, F.concat("head", F.array_join(F.transform("new", lambda n: n["text"]), ""))).otherwise(text).alias("text"),
         *counts,
         F.exists("new", lambda n: n["kind"].isNotNull()).alias("changed"),
     )

@@ -610,6 +610,35 @@ def test_pseudonyms(spark):
     assert pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def test_values_followed_by_more_are_found(spark):
+    from millrace.llm.pii import pseudonymise
+
+    card = "4111 1111 1111 1111"
+    cases = [  # text, values that go, counts of cards and IBANs, what stays
+        (f"{card} 12/26", [card], 1, 0, r"{} 12/26"), ("4111111111111111 123", ["4111111111111111"], 1, 0, r"{} 123"), (f"{card} 12/26 123, next", [card], 1, 0, r"{} 12/26 123, next"),
+        ("BE68 5390 0754 7034 EUR", ["5390 0754 7034"], 0, 1, r"{} EUR"), ("ES91 2100 0418 4502 0005 1332 BIC CAIX", ["2100 0418 4502 0005 1332"], 0, 1, r"{} BIC CAIX"),
+        ("DE89370400440532013000 EUR 12", ["370400440532013000"], 0, 1, r"{} EUR 12"), ("NO93 8601 1117 947 IBAN", ["8601 1117 947"], 0, 1, r"{} IBAN"),
+        (f"12 {card}", [card], 1, 0, r"12 {}"), (f"{card} 123 5500 0000 0000 0004 7", [card, "5500 0000 0000 0004"], 2, 0, r"{} 123 {} 7"),
+        ("123456 2024-01-15", ["2024-01-15"], 0, 0, r"123456 {}"), (f"{card} 15.01.2024", [card, "15.01.2024"], 1, 0, r"{} {}"), (f"é🙂 {card} 12 é {card} 12 🙂", [card], 2, 0, r"é🙂 {} 12 é {} 12 🙂"),
+        (f"{card} 12 " * 600, [card], 600, 0, "{} 12 " * 600),
+    ]
+    got = {r["doc_id"]: r for r in rows(pseudonymise(frame(spark, [c[0] for c in cases]), "k"))}
+    for i, (text, values, cards, ibans, stays) in enumerate(cases):
+        new = got[i]["text"]
+        assert not any(v in new for v in values) and (got[i]["n_card"], got[i]["n_iban"]) == (cards, ibans), (text[:60], new[:60])
+        parts = re.fullmatch("".join("([A-Z0-9 .-]+)" if p == "{}" else re.escape(p) for p in re.split(r"({})", stays)), new) if len(stays) < 100 else None
+        assert len(new) == len(text) and (len(stays) > 100 or parts), (text, new)
+        if parts and cards:
+            assert luhn(re.sub("[^0-9]", "", parts[1]))
+        if parts and ibans:
+            assert mod97(parts[1]) == 1
+    # Rows of small numbers don't become cards at each place, and values that fail stay.
+    table = " ".join(f"{i % 90 + 10}" for i in range(400))
+    kept = ["4111 1111 1111 1112 12/26", "BE67 5390 0754 7034 EUR"]
+    got = {r["doc_id"]: r for r in rows(pseudonymise(frame(spark, [*kept, table]), "k"))}
+    assert [got[i]["text"] for i in (0, 1)] == kept and got[2]["n_card"] <= 1
+
+
 def test_pseudonyms_are_a_permutation(spark):
     from millrace.llm.pii import _Sql
 
