@@ -1,7 +1,8 @@
 """WARC archives: a writer, and a reader that salvages what is left of damaged ones.
 
 Archives have a gzip member for each record. The reader checks every member and record; where a check fails it searches for the
-next member (or, in plain archives and inside members, the next version line) that passes, and logs the bytes between as a gap.
+next member or version line that passes, whatever the archive begins with, and logs the bytes between as a gap. Of a broken member
+it takes the records that are whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from millrace.llm.shared import new_path, stored
 
 VERSION, MAGIC = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_START = re.compile(_VERSION_LINE.pattern + b"|" + re.escape(MAGIC))
 #: An archive is closed when it has so many bytes; one is read as a whole.
 ARCHIVE_BYTES = 16 << 20
 #: A member that grows beyond this is damaged.
@@ -147,27 +149,68 @@ def _member(data: memoryview, at: int) -> tuple[bytes | None, int, str]:
     return b"".join(parts), min(place, len(data)) - len(unpack.unused_data), ""
 
 
+def _before_damage(data: memoryview, at: int, least: int | None = None) -> tuple[bytes, int]:
+    """(content, end) of what the gzip member at a place gives before it fails or the data end; with least, of as few of its bytes
+    as give so much. A call that fails gives nothing, so it is made again in smaller steps."""
+    unpack, parts, size, place, step = zlib.decompressobj(31), [], 0, at, _CHUNK
+    while step and place < len(data) and not unpack.eof and (least is None or size < least):
+        saved = unpack.copy()
+        try:
+            part = unpack.decompress(data[place : place + step])
+        except zlib.error:
+            part = None
+        if part is None or (least is not None and size + len(part) >= least and step > 1):
+            unpack, step = saved, step // 256
+            continue
+        parts.append(part)
+        size += len(part)
+        place += step
+    return b"".join(parts), min(place, len(data))
+
+
+def _inside(data: memoryview, at: int) -> tuple[list[Record | Gap], int, str]:
+    """(what is found, end, what is wrong) of the gzip member at a place. Of a broken one, records before a cut, or those that
+    have a digest of their block if bytes are wrong, for these may have come out wrong before the member failed; it ends behind them."""
+    content, end, wrong = _member(data, at)
+    if content is not None:
+        return list(salvage_plain(content)), end, ""
+    content, end = _before_damage(data, at)
+    cut = end == len(data)
+    kept = [x for x in salvage_plain(content) if isinstance(x, Record) and (cut or x.headers.get("warc-block-digest", "").startswith("sha1:"))]
+    return list(kept), _before_damage(data, at, kept[-1].end)[1] if kept else at, wrong
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """The valid records of an archive, and its gaps. In a compressed archive a record has the place of its member."""
-    if not data.startswith(MAGIC) and (_VERSION_LINE.match(data) or MAGIC not in data):
-        yield from salvage_plain(data)
-        return
+    """The valid records of an archive, compressed or plain, and its gaps. A record in a member has the place of the member."""
     view, at, lost, why = memoryview(data), 0, -1, ""
     while at < len(data):
-        content, end, wrong = _member(view, at)
-        found = list(salvage_plain(content)) if content is not None else []
+        packed = data.startswith(MAGIC, at)
+        if packed:
+            found, end, wrong = _inside(view, at)
+        else:
+            record, end, wrong = _record(data, at)
+            found = [record] if record else []
         if any(isinstance(x, Record) for x in found):
             if lost >= 0:
                 yield Gap(lost, at, why)
                 lost = -1
             for x in found:
-                yield Record(at, end, x.headers, x.block) if isinstance(x, Record) else Gap(at, end, f"inside a member: {x.reason}")
+                if isinstance(x, Gap):
+                    yield Gap(at, end, f"inside a member: {x.reason}")
+                else:
+                    yield Record(at, end, x.headers, x.block) if packed else x
             at = end
-            continue
-        if lost < 0:
-            lost, why = at, wrong or (found[0].reason if found else "empty member")
-        place = data.find(MAGIC, at + 1)
-        at = place if place >= 0 else len(data)
+            if not wrong:
+                continue
+            # What is left of a broken member is lost up to the next start.
+            if at < len(data):
+                lost, why = at, wrong
+            place = _START.search(data, at)
+        else:
+            if lost < 0:
+                lost, why = at, wrong or (found[0].reason if found else "empty member")
+            place = _START.search(data, at + 1)
+        at = place.start() if place else len(data)
     if lost >= 0:
         yield Gap(lost, len(data), why)
 

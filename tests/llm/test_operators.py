@@ -336,6 +336,43 @@ def test_salvage():
     assert list(salvage(b"")) == [] and isinstance(next(salvage(b"junk")), Gap) and member([], b"x") == member([], b"x")
 
 
+def test_salvage_of_mixed_and_broken_archives():
+    from millrace.llm.warc import Gap, Record, page_record, salvage, sha1_base32
+    import gzip
+    import zlib
+
+    rng = random.Random(8)
+    bodies = [f"<p>page {i}</p>".encode() + rng.randbytes(3000) for i in range(8)]
+    parts = [page_record(i, "http://x.example/", b, len(b), sha1_base32(b), None, "2024-01-01T00:00:00Z") for i, b in enumerate(bodies)]
+    plain = [zlib.decompress(p, 31) for p in parts]
+
+    def read(data):
+        found = list(salvage(data))
+        places = sorted({(x.start, x.end) for x in found})
+        assert places[0][0] == 0 and places[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(places, places[1:], strict=False))
+        return [bodies.index(x.payload) for x in found if isinstance(x, Record)], [(x.start, x.end) for x in found if isinstance(x, Gap)]
+
+    # A plain archive whose first line is damaged and that stores a gzip body.
+    body = gzip.compress(b"stored " * 100)
+    bodies.append(body)
+    stored = zlib.decompress(page_record(8, "http://x.example/", body, len(body), sha1_base32(body), None, "2024-01-01T00:00:00Z"), 31)
+    text = b"XXXX" + (plain[0] + stored + plain[1] + plain[2])[4:]
+    assert read(text) == ([8, 1, 2], [(0, len(plain[0]))])
+    # Plain records behind members, and members behind plain records, one of them damaged.
+    bad = plain[3].replace(b"page 3", b"page X", 1)
+    assert read(parts[0] + plain[1] + bad + parts[2] + plain[4]) == ([0, 1, 2, 4], [(len(parts[0] + plain[1]), len(parts[0] + plain[1] + bad))])
+    # A member of many records, cut or with a wrong byte: those before the damage stay, and so does what follows the member.
+    for level in (0, 6):
+        press = zlib.compressobj(level, zlib.DEFLATED, 31)
+        many = press.compress(b"".join(plain[:6])) + press.flush()
+        got, gaps = read(many[: len(many) * 3 // 4])
+        assert got == [0, 1, 2, 3] and len(gaps) == 1
+        wrong = bytearray(many)
+        wrong[len(many) // 2 + 1500] ^= 0xFF
+        got, gaps = read(bytes(wrong) + parts[6] + parts[7])
+        assert got[:3] == [0, 1, 2] and got[-2:] == [6, 7] and len(got) == len(set(got)) and 3 not in got and gaps
+
+
 # 6
 
 
