@@ -11,7 +11,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
@@ -28,8 +28,6 @@ _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(_VERSION_LINE.pattern + b"|" + re.escape(MAGIC))
 #: An archive is closed when it has so many bytes; one is read as a whole.
 ARCHIVE_BYTES = 16 << 20
-#: A member that grows beyond this is damaged.
-MEMBER_BYTES = 1 << 30
 _CHUNK = 1 << 16
 
 
@@ -134,16 +132,13 @@ def salvage_plain(data: bytes) -> Iterator[Record | Gap]:
 
 def _member(data: memoryview, at: int) -> tuple[bytes | None, int, str]:
     """(content, end, what is wrong) of the gzip member at a place; its checksum is checked."""
-    unpack, parts, size, place = zlib.decompressobj(31), [], 0, at
+    unpack, parts, place = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
             if place >= len(data):
                 return None, at, "member without end"
             parts.append(unpack.decompress(data[place : place + _CHUNK]))
-            size += len(parts[-1])
             place += _CHUNK
-            if size > MEMBER_BYTES:
-                return None, at, "member too large"
     except zlib.error as e:
         return None, at, f"member: {e}"
     return b"".join(parts), min(place, len(data)) - len(unpack.unused_data), ""
@@ -272,11 +267,12 @@ def write_archives(
 
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, wanted: Mapping[str, int] | None = None) -> DataFrame:
     """A row for each record, warcinfo aside, and each gap of the archives in a folder (or under a glob).
 
     (path, start, end, gap, record_type, record_id, refers_to, uri, payload_bytes, payload_digest, payload). For gaps, gap is the
     reason and what follows is null. A revisit has no payload; its bytes and digest are those of the response.
+    With wanted, records by name of archive, it is an error if the folder has other archives or one has another number of records.
     """
     names = ["path", "start", "end", "gap", "record_type", "record_id", "refers_to", "uri", "payload_bytes", "payload_digest", "payload"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
@@ -296,19 +292,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                name, part, size = batch.column(0)[i].as_py(), [], 0
+                name, part, size, records = batch.column(0)[i].as_py(), [], 0, 0
                 for x in salvage(batch.column(1)[i].as_py()):
                     if made := row(name, x):
+                        records += isinstance(x, Record)
                         part.append(made)
                         size += len(made[-1] or b"")
                     if size > ARCHIVE_BYTES or len(part) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
                         part, size = [], 0
+                if wanted is not None and records != wanted.get(name.rpartition("/")[2]):
+                    raise ValueError(f"{name}: {records} records read, {wanted.get(name.rpartition('/')[2])} written")
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
 
     schema = "path string, start bigint, end bigint, gap string, record_type string, record_id string, refers_to string, uri string, payload_bytes bigint, payload_digest string, payload binary"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
+    if wanted is not None:
+        there = sorted(r["path"].rpartition("/")[2] for r in files.select("path").collect())
+        if there != sorted(wanted):
+            raise ValueError(f"{path}: {len(there)} archives found, {len(wanted)} written, or others")
     return files.select("path", "content").mapInArrow(run, schema)
 
 
@@ -318,11 +321,14 @@ def page_id_of(record_id: str) -> Column:
 
 
 def round_trip(pages: DataFrame, **options: object) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes pages to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    It fails if an archive has another number of valid records than were written."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     written = write_archives(pages, path, **options)
-    if written.isEmpty():
+    wanted = {r["path"].rpartition("/")[2]: r["records"] for r in written.select("path", "records").collect()}  # one for each archive
+    if not wanted:
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-    found = read_archives(spark, path).filter("gap IS NULL")
+    found = read_archives(spark, path, wanted).filter("gap IS NULL")
     return found.select(page_id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id_of("refers_to").alias("refers_to"))

@@ -373,6 +373,27 @@ def test_salvage_of_mixed_and_broken_archives():
         assert got[:3] == [0, 1, 2] and got[-2:] == [6, 7] and len(got) == len(set(got)) and 3 not in got and gaps
 
 
+def test_no_record_is_lost_silently(spark, monkeypatch):
+    from millrace.llm import warc
+
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000, raising=False)
+    assert [x.block for x in warc.salvage(warc.member([], b"x" * 5000))] == [b"x" * 5000]
+    monkeypatch.undo()
+    write = warc.write_archives
+
+    def damaged(pages, path, **options):
+        written = write(pages, path, **options)
+        name = written.first()["path"].removeprefix("file:")
+        with open(name, "rb+") as f:
+            f.truncate(f.seek(0, 2) - 30)
+        return written
+
+    pages = spark.createDataFrame([(i, "http://x.example/", f"page {i}") for i in range(5)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(Exception, match="records read"):
+        warc.round_trip(pages).collect()
+
+
 # 6
 
 
