@@ -129,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     flags = [F.max(F.expr(c).cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())]
     ys = [f"y{k}" for k in range(len(names))]
     labelled = labels.groupBy(F.col(id_col).alias("id")).agg(*flags).dropna()
+    labelled = labelled.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")  # before the limit: labels of other documents don't count
     some = stored(labelled.orderBy(F.xxhash64("id"), "id").limit(rows), "labelled")  # bounded, so it is broadcast
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -265,6 +265,18 @@ def test_bounded_training_sample(spark, monkeypatch):
     assert seen == [30]
 
 
+def test_training_sample_is_of_rows_there(spark, monkeypatch):
+    from millrace.llm import toxicity
+
+    docs = frame(spark, [f"w{i % 7} x" for i in range(50)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1000)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda names, vocabulary, columns, x, y: seen.append(len(x)))
+    toxicity.train(docs, labels, rows=30)
+    toxicity.train(docs, labels)
+    assert seen == [30, 50]
+
+
 def test_later_models_get_out_of_fold_probabilities():
     import numpy as np
 
