@@ -1,4 +1,4 @@
-"""Exact duplicates: groups by a 128-bit content hash, whose texts are then compared byte by byte.
+"""Exact duplicates: groups by a 128-bit content hash, MD5, whose texts are then told apart by a second hash, SHA-256.
 
 No text is shuffled but that of documents whose hash occurs more than once. Copies are counted before each shuffle,
 so a group that holds a third of all rows costs one row for each task.
@@ -34,7 +34,7 @@ def _classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str, keep
     """(h, sha, class_size, stays, ties): a row for each text that several rows have. ties: rows with the id that stays."""
     repeated = stored(units.groupBy("h").agg(F.sum("n").alias("rows")).filter("rows > 1").select("h"), "repeated")
     text = docs.select(F.col(id_col).alias("id"), _text(text_col).alias("text")).withColumn("h", _hash128(F.col("text")))
-    # Grouping by hash and text compares the bytes of texts under one hash: a collision makes two classes.
+    # Texts under one hash are told apart by SHA-256, below; bytes are compared here only between rows of one id.
     members = text.join(small(repeated), "h", "left_semi").groupBy("h", "text", "id").agg(F.count(F.lit(1)).alias("n"))
     return (
         members.select("h", F.sha2("text", 256).alias("sha"), "id", "n")
@@ -54,7 +54,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classify_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their bytes are; null counts as empty. The row with the smallest id of a group stays
+    Texts are equal when both hashes are, which stand in for their bytes; null counts as empty. The row with the smallest id of a group stays
     (keep="max": the largest). Of repeated rows, equal in id and text, one stays. A null id stays only in a group
     without any other id; keep_id is null then. No rows: no rows. Extra columns of docs are not read.
     """
