@@ -1,7 +1,8 @@
 """Personal data: format-preserving pseudonyms by a keyed Feistel network.
 
 Numbers that pass their checks, and dates, are permuted within their format, so that equal values have equal pseudonyms in all
-documents and different values different ones. A card keeps a valid Luhn digit, an IBAN valid check digits, a date stays a date.
+documents and different values different ones. A card keeps a valid Luhn digit, an IBAN valid check digits, a date stays a date of
+the years 1 to 9999 in its layout. Where the network leaves the valid values it is applied again until it is back among them.
 Built-in functions only; each document is changed where it lies, so nothing is shuffled.
 """
 
@@ -13,9 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: Days of a window in which dates are permuted, 270 * 270: 1900-01-01 to 2099-08-04, and windows of that length before and after.
-_SIDE = 270
-_FIRST_DAY = "-25567"  # 1900-01-01 in days from 1970-01-01
 #: Steps after which a pseudonym that isn't valid in its format (chance below 0.12 each) is valid.
 _WALK = 60
 
@@ -43,7 +41,7 @@ _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 _CARD_START = r"(?:(?<![0-9] )|(?=(?:2[2-7]|[3-6][0-9]|81|97)[0-9]{2}|[0-9]{13}))"
 #: By kind, in the order in which they are tried at each place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",  # possessive: Java goes through a repeated group without recursion
     "iban": _EDGE + _IBAN + _END,
     "ssn": r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
     "date": r"(?<![A-Za-z0-9_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9_/-])",
@@ -59,7 +57,10 @@ _ALONE = PATTERNS | {"iban": _IBAN, "card": _CARD}
 #: Places whose choices are made in one array, so that texts with very many of them take time in proportion.
 _BLOCK = 256
 
-_DATES = {r"[0-9]{4}-[0-9]{2}-[0-9]{2}": ("yyyy-MM-dd",), r"[0-9]{4}/[0-9]{2}/[0-9]{2}": ("yyyy/MM/dd",), r"[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}": ("dd.MM.yyyy",), r"[0-9]{2}/[0-9]{2}/[0-9]{4}": ("dd/MM/yyyy", "MM/dd/yyyy")}
+#: Layouts of dates: pattern, places of year, month and day, and a template. Those of one domain are permuted alike. Slashes leave open
+#: whether the day or the month comes first; dates of both readings, of the day first and of the month first are three domains.
+_ISO = ((r"[0-9]{4}-[0-9]{2}-[0-9]{2}", (1, 6, 9), "{y}, '-', {m}, '-', {d}"), (r"[0-9]{4}/[0-9]{2}/[0-9]{2}", (1, 6, 9), "{y}, '/', {m}, '/', {d}"), (r"[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}", (7, 4, 1), "{d}, '.', {m}, '.', {y}"))
+_SLASHES = r"[0-9]{2}/[0-9]{2}/[0-9]{4}"
 
 
 def _quoted(s: str) -> str:
@@ -70,7 +71,8 @@ class _Sql:
     """SQL text of the pseudonyms. A number goes through the network as two halves, each moved by a keyed hash of the other."""
 
     def __init__(self, key: str):
-        self.key = _quoted(key)
+        """key: SQL text of the key, such as the name of a column."""
+        self.key = key
 
     def hash(self, *parts: str) -> str:
         """60 bits of the keyed hash."""
@@ -124,9 +126,17 @@ class _Sql:
         new = self.let("body", self.digits("card", f"substr({d}, 1, length({d}) - 1)"), f"concat(body, CAST((10 - {self.luhn("concat(body, '0')")}) % 10 AS STRING))")
         return f"length({d}) BETWEEN 13 AND 19 AND {self.luhn(d)} = 0", self.refilled(x, new, "0")
 
+    @staticmethod
+    def walked(start: str, bad: Callable[[str], str], again: Callable[[str], str]) -> str:
+        """start, a value out of the network, sent through it again as long as it is bad."""
+        return f"aggregate(sequence(1, {_WALK}), {start}, (w, z) -> CASE WHEN {bad('w')} THEN {again('w')} ELSE w END)"
+
     def phone(self, x: str) -> tuple[str, str]:
+        """Valid: ten digits that are not all the same. Area codes aren't checked, for numbering plans differ."""
         d = self.only_digits(x)
-        return "true", self.refilled(x, self.digits("phone", f"right({d}, 10)"), f"(length({d}) - 10)")
+        same = "{0} = repeat(left({0}, 1), 10)".format
+        own = lambda w: self.digits("phone", w)
+        return f"NOT ({same(f'right({d}, 10)')})", self.refilled(x, self.walked(own(f"right({d}, 10)"), same, own), f"(length({d}) - 10)")
 
     def ip(self, x: str) -> tuple[str, str]:
         o = [f"CAST(split({x}, '[.]')[{i}] AS INT)" for i in range(4)]
@@ -136,8 +146,8 @@ class _Sql:
     def ssn(self, x: str) -> tuple[str, str]:
         bad = "(substr({0}, 1, 3) IN ('000', '666') OR substr({0}, 1, 1) = '9' OR substr({0}, 4, 2) = '00' OR substr({0}, 6) = '0000')".format
         d = self.only_digits(x)
-        walked = f"aggregate(sequence(1, {_WALK}), {self.digits('ssn', d)}, (w, z) -> CASE WHEN {bad('w')} THEN {self.digits('ssn', 'w')} ELSE w END)"
-        return f"NOT {bad(d)}", self.refilled(x, walked, "0")
+        own = lambda w: self.digits("ssn", w)
+        return f"NOT {bad(d)}", self.refilled(x, self.walked(own(d), bad, own), "0")
 
     def iban(self, x: str) -> tuple[str, str]:
         s = f"replace({x}, ' ', '')"
@@ -146,23 +156,43 @@ class _Sql:
         valid = f"length({s}) BETWEEN 15 AND 34 AND length({self.only_digits(bban)}) BETWEEN 4 AND 30 AND {self.mod97(f'concat({bban}, substr({s}, 1, 4))')} = 1"
         return valid, self.refilled(x, fresh, "0")
 
+    @staticmethod
+    def is_day(y: str, m: str, d: str) -> str:
+        """Whether numbers are a day of the Gregorian calendar, carried back to year 1."""
+        leap = f"({y} % 4 = 0 AND ({y} % 100 <> 0 OR {y} % 400 = 0))"
+        return f"({y} BETWEEN 1 AND 9999 AND {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND CASE WHEN {m} IN (4, 6, 9, 11) THEN 30 WHEN {m} = 2 THEN IF({leap}, 29, 28) ELSE 31 END)"
+
+    def days(self, domain: str, y: str, m: str, d: str, low: int, high: int, out: str) -> str:
+        """out of the pseudonym of a day from low to high of its month; out has {y}, {m} and {d}."""
+        n = 12 * (high - low + 1)
+        own = lambda a, b: self.feistel(domain, a, b, "9999", str(n), "named_struct('a', s.a, 'b', s.b)")
+        part = lambda w: (f"({w}.a + 1)", f"({w}.b div {high - low + 1} + 1)", f"({w}.b % {high - low + 1} + {low})")
+        walked = self.walked(own(f"{y} - 1", f"({m} - 1) * {high - low + 1} + {d} - {low}"), lambda w: f"NOT {self.is_day(*part(w))}", lambda w: own(f"{w}.a", f"{w}.b"))
+        new = [f"lpad(CAST({x} AS STRING), {k}, '0')" for x, k in zip(part("v"), (4, 2, 2), strict=True)]
+        return self.let("v", walked, f"concat({out.format(y=new[0], m=new[1], d=new[2])})")
+
     def date(self, x: str) -> tuple[str, str]:
-        formats = [(p, f) for p, fs in _DATES.items() for f in fs]
-        parsed = [f"CAST(try_to_timestamp({x}, '{f}') AS DATE)" for _, f in formats]
-        fits = [f"({x} RLIKE '^{p}$' AND {day} IS NOT NULL)" for (p, _), day in zip(formats, parsed, strict=True)]
-        cases = []
-        for (_, f), day, fit in zip(formats, parsed, fits, strict=True):
-            n, size = f"(datediff({day}, DATE'1970-01-01') - ({_FIRST_DAY}))", _SIDE * _SIDE
-            window = f"CAST(floor({n} / {size}) AS INT)"
-            within = f"({n} - {window} * {size})"
-            out = f"date_format(date_add(DATE'1970-01-01', CAST(s.a * {_SIDE} + s.b AS INT) + {window} * {size} + ({_FIRST_DAY})), '{f}')"
-            cases.append(f"WHEN {fit} THEN {self.feistel('date', f'{within} div {_SIDE}', f'{within} % {_SIDE}', str(_SIDE), str(_SIDE), out)}")
-        return f"({' OR '.join(fits)})", f"CASE {' '.join(cases)} END"
+        valid, cases = [], []
+        number = lambda at, n=2: f"TRY_CAST(substr({x}, {at}, {n}) AS INT)"
+        for pattern, (y, m, d), out in _ISO:
+            ymd = number(y, 4), number(m), number(d)
+            fits = f"({x} RLIKE '^{pattern}$' AND {self.is_day(*ymd)})"
+            valid.append(fits)
+            cases.append(f"WHEN {x} RLIKE '^{pattern}$' THEN {self.days('date', *ymd, 1, 31, out)}")
+        a, b, y = number(1), number(4), number(7, 4)
+        valid.append(f"({x} RLIKE '^{_SLASHES}$' AND ({self.is_day(y, b, a)} OR {self.is_day(y, a, b)}))")
+        for domain, when, m, d, low, high, out in (
+            ("either", f"greatest({a}, {b}) <= 12", b, a, 1, 12, "{d}, '/', {m}, '/', {y}"),
+            ("day", f"{a} > 12", b, a, 13, 31, "{d}, '/', {m}, '/', {y}"),
+            ("month", "true", a, b, 13, 31, "{m}, '/', {d}, '/', {y}"),
+        ):
+            cases.append(f"WHEN {when} THEN {self.days(f'date-{domain}', y, m, d, low, high, out)}")
+        return f"({' OR '.join(valid)})", f"CASE {' '.join(cases)} END"
 
     def email(self, x: str) -> tuple[str, str]:
-        """Not a number: letters from the keyed hashes of the mailbox and of the domain stand for them."""
+        """Not a number: letters from 80 bits of the keyed hash of the mailbox and 64 of the domain stand for them."""
         letters = "translate(substr(sha2(concat_ws(':', {0}, '{1}', lower({2})), 256), 1, {3}), '0123456789abcdef', 'bcdfghjklmnpqrst')".format
-        return "true", f"concat({letters(self.key, 'mailbox', x, 12)}, '@', {letters(self.key, 'domain', f"substring_index({x}, '@', -1)", 8)}, '.example')"
+        return "true", f"concat({letters(self.key, 'mailbox', x, 20)}, '@', {letters(self.key, 'domain', f"substring_index({x}, '@', -1)", 16)}, '.example')"
 
     def part(self, kind: str, x: str) -> str:
         """The longest beginning of a match that ends where a number may end and holds the kind's check, or null."""
@@ -209,13 +239,15 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     Whole texts are read; null stays null. Values that fail their check (Luhn, octets over 255, no such day, ...) stay as they
     are; then shorter ones that end at a separator are tried, and what begins within them. An IBAN has its country's length.
-    The key is needed to map a value again. Repeated rows give repeated rows; extra columns may have any name.
+    The key is needed to map a value again; it comes from a table of one row by a scalar subquery, so that plans, the web interface and
+    event logs don't show it. Repeated rows give repeated rows; extra columns may have any name.
     """
-    sql = _Sql(key)
+    sql = _Sql("key")
     text = F.col(f"d.{text_col}")
-    rows = docs.select(F.struct(*docs.columns).alias("d")).withColumn("some", text.rlike("[0-9@]"))
+    secret = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    rows = docs.select(F.struct(*docs.columns).alias("d"), secret.alias("key")).withColumn("some", text.rlike("[0-9@]"))
     nothing = F.array().cast("array<string>")
-    rows = rows.select("d", F.when(F.col("some"), F.regexp_extract_all(text, F.lit(ANY), F.lit(1))).otherwise(nothing).alias("hits"))
+    rows = rows.select("d", "key", F.when(F.col("some"), F.regexp_extract_all(text, F.lit(ANY), F.lit(1))).otherwise(nothing).alias("hits"))
     # Pieces begin at the places; what stands before the first is a piece of its own unless it is empty.
     rows = rows.select("d", F.expr(f"transform(hits, x -> {sql.pseudonym('x')})").alias("new"), F.when(F.size("hits") > 0, F.split(text, ANY, -1)).alias("pieces"))
     rows = rows.select("d", F.expr("IF(size(pieces) > size(new), pieces[0], '')").alias("head"), F.expr("transform(new, (n, i) -> named_struct('kind', n.kind, 'size', n.size, 'text', n.text, 'piece', pieces[i + size(pieces) - size(new)]))").alias("places"))

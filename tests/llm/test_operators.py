@@ -1,8 +1,8 @@
 """Each corpus operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, no rows and clashing names."""
 
 import base64
+import datetime
 import hashlib
-import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -638,16 +638,35 @@ def mod97(s):
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
 
 
-def brute_digits(key, kind, d):
-    """The Feistel network over a digit string, in plain Python."""
-    u = len(d) // 2
-    a, b, ma, mb = int(d[:u] or 0), int(d[u:]), 10**u, 10 ** (len(d) - u)
+def brute_feistel(key, kind, a, b, ma, mb):
+    """The network in plain Python."""
     for i in range(10):
         f = int(hashlib.sha256(":".join(map(str, (key, kind, ma, mb, i, b))).encode()).hexdigest()[:15], 16)
         a, b, ma, mb = b, (a + f % ma) % ma, mb, ma
+    return a, b
+
+
+def brute_digits(key, kind, d):
+    u = len(d) // 2
+    a, b = brute_feistel(key, kind, int(d[:u] or 0), int(d[u:]), 10**u, 10 ** (len(d) - u))
     return str(a).zfill(u) + str(b).zfill(len(d) - u)
 
 
+def is_day(y, m, d):
+    try:
+        return bool(datetime.date(y, m, d))
+    except ValueError:
+        return False
+
+
+def brute_day(key, domain, y, m, d, low=1, high=31):
+    k = high - low + 1
+    a, b = brute_feistel(key, domain, y - 1, (m - 1) * k + d - low, 9999, 12 * k)
+    while not is_day(a + 1, b // k + 1, b % k + low):
+        a, b = brute_feistel(key, domain, a, b, 9999, 12 * k)
+    return a + 1, b // k + 1, b % k + low
+
+
 def test_pseudonyms(spark):
     from millrace.llm.pii import pseudonymise
 
@@ -670,9 +689,16 @@ def test_pseudonyms(spark):
     assert got[4]["n_ip"] == 1 and "10.0.255.1 " not in got[4]["text"] and "10.0.256.1 or 1.2.3.4.5" in got[4]["text"]
     day = re.findall(r"\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}", got[5]["text"])
     assert got[5]["n_date"] == 4 and day[1] == "1985-02-30"
-    y, m, d = day[0].split("-")
-    assert day[2:] == [f"{d}.{m}.{y}", f"{d}/{m}/{y}", f"{m}/{d}/{y}"] and day[0] != "1985-02-28"
-    assert got[6]["n_ssn"] == 1 and "000-45-6789" in got[6]["text"] and re.search(r"SSN (?!123-45-6789)\d{3}-\d{2}-\d{4},", got[6]["text"])
+    y, m, d = brute_day("k", "date", 1985, 2, 28)
+    first, then = brute_day("k", "date-day", 1985, 2, 28, 13), brute_day("k", "date-month", 1985, 2, 28, 13)
+    assert day[0] == f"{y:04d}-{m:02d}-{d:02d}" and day[2:] == [f"{d:02d}.{m:02d}.{y:04d}", f"{first[2]:02d}/{first[1]:02d}/{first[0]:04d}", f"{then[1]:02d}/{then[2]:02d}/{then[0]:04d}"]
+    ssn = brute_digits("k", "ssn", "123456789")
+    while ssn[:3] in ("000", "666") or ssn[0] == "9" or ssn[3:5] == "00" or ssn[5:] == "0000":
+        ssn = brute_digits("k", "ssn", ssn)
+    assert got[6]["n_ssn"] == 1 and got[6]["text"] == f"SSN {ssn[:3]}-{ssn[3:5]}-{ssn[5:]}, not 000-45-6789."
+    a, b = brute_feistel("k", "ip", 10 * 256, 255 * 256 + 1, 65536, 65536)
+    assert f"At {a >> 8}.{a & 255}.{b >> 8}.{b & 255} but" in got[4]["text"]
+    assert found[0].replace(" ", "")[4:] == brute_digits("k", "iban", iban.replace(" ", "")[4:])
     for i in range(7, len(texts)):
         assert got[i]["text"] == texts[i] and not got[i]["changed"]
     other = {r["doc_id"]: r["text"] for r in rows(pseudonymise(docs, "another key"))}
@@ -712,13 +738,43 @@ def test_values_followed_by_more_are_found(spark):
 def test_pseudonyms_are_a_permutation(spark):
     from millrace.llm.pii import _Sql
 
-    sql = _Sql("k")
+    sql = _Sql("'k'")
     got = spark.range(10_000).selectExpr("id", f"{sql.digits('t', 'lpad(CAST(id AS STRING), 4, \"0\")')} AS p").collect()
     assert {r["p"] for r in got} == {f"{i:04d}" for i in range(10_000)}
     assert got[77]["p"] == brute_digits("k", "t", f"{got[77]['id']:04d}")
-    days = spark.range(-3000, 75_000).selectExpr("date_format(date_add(DATE'1900-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS x")
-    out = days.selectExpr(f"{sql.date('x')[1]} AS p").collect()
-    assert len({r["p"] for r in out}) == 78_000
-    inside = days.selectExpr("x", f"{sql.date('x')[1]} AS p").filter("x BETWEEN '1900-01-01' AND '2099-08-04'").collect()
-    assert {r["x"] for r in inside} == {r["p"] for r in inside}
-    assert not math.isnan(len(inside))
+
+
+def test_dates_keep_their_layout_and_stay_apart(spark):
+    from millrace.llm.pii import _Sql
+
+    sql = _Sql("'k'")
+    days = [datetime.date(y, m, d) for y in (1, 2, 4, 1900, 1999, 2000, 2024, 2096, 9996, 9998, 9999) for m in range(1, 13) for d in range(1, 32) if is_day(y, m, d)]
+    # The last takes in both readings of the numbers; of equal strings one is enough.
+    layouts = {"{0:04d}-{1:02d}-{2:02d}", "{0:04d}/{1:02d}/{2:02d}", "{2:02d}.{1:02d}.{0:04d}"}
+    slashes = sorted({f.format(x.year, x.month, x.day) for x in days for f in ("{2:02d}/{1:02d}/{0:04d}", "{1:02d}/{2:02d}/{0:04d}")})
+    for texts in [*[[f.format(x.year, x.month, x.day) for x in days] for f in layouts], slashes]:
+        out = spark.createDataFrame([(t,) for t in texts], "x string").selectExpr("x", f"{sql.date('x')[0]} AS ok", f"{sql.date('x')[1]} AS p").collect()
+        assert len({r["p"] for r in out}) == len(texts) and all(r["ok"] for r in out)
+        for r in out:
+            assert re.sub("[0-9]", "9", r["p"]) == re.sub("[0-9]", "9", r["x"])
+            n = [int(k) for k in re.split("[-/.]", r["p"])]
+            own = [int(k) for k in re.split("[-/.]", r["x"])]
+            if texts is slashes:  # days after the 12th stay where they are
+                assert [k > 12 for k in n[:2]] == [k > 12 for k in own[:2]] and (is_day(n[2], n[1], n[0]) or is_day(n[2], n[0], n[1]))
+            else:
+                assert is_day(*(n if len(r["p"].split(".")) == 1 else n[::-1]))
+    bad = ["2023-02-29", "1900-02-29", "0000-01-01", "2023-13-01", "2023/04/31", "31.04.2023", "00.01.2023", "31/04/2023", "13/13/2023", "29/02/2023", "02/30/2024"]
+    assert not any(r["ok"] for r in spark.createDataFrame([(t,) for t in bad], "x string").selectExpr(f"{sql.date('x')[0]} AS ok").collect())
+
+
+def test_long_tokens_and_the_key(spark):
+    from millrace.llm.pii import pseudonymise
+
+    texts = ["x@a" + ".a" * 100_000, "1" * 200_000, "@" * 200_000, "." * 100_000, "-" * 100_000, " " * 100_000, "1-" * 50_000, "(111) 111-1111 and 0000-00-00"]
+    docs = frame(spark, texts)
+    out = pseudonymise(docs, "a very secret key")
+    got = {r["doc_id"]: r for r in rows(out)}
+    assert got[0]["n_email"] == 1 and re.fullmatch(r"[a-z]{20}@[a-z]{16}\.example", got[0]["text"])
+    assert all(got[i]["text"] == texts[i] for i in range(1, len(texts)))
+    plan = out._jdf.queryExecution().toString()
+    assert "a very secret key" not in plan and "ubquery" in plan
