@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a table of short keys is broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 300_000
+#: Size up to which a table of short keys is broadcast, in rows and in bytes of memory; beyond it the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 48 << 20
 
+_scratch: ContextVar[list[str] | None] = ContextVar("millrace_scratch", default=None)
 _own_dirs: dict[str, str] = {}
 
 
@@ -43,22 +46,52 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes tables made by stored() that no returned DataFrame reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0].rsplit("/", 1)[0] for frame in frames for f in frame.inputFiles()}:
-        if "/millrace-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has no more than so many rows. It counts df, so df should be a stored table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    made = _scratch.get()
+    if made is not None:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    parent.getFileSystem(conf).delete(parent, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by stored(), once nothing reads them any more."""
+    made = _scratch.get()
+    for t in tables:
+        _delete(t.sparkSession, t._stored_path)
+        if made is not None and t._stored_path in made:
+            made.remove(t._stored_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables that stored() makes within are deleted at the end, but those given to keep(), the function that it yields."""
+    made: list[str] = []
+    outer, kept, token = _scratch.get(), set(), _scratch.set(made)
+    try:
+        yield lambda *tables: kept.update(t._stored_path for t in tables)
+    finally:
+        _scratch.reset(token)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it has no more than so many rows and bytes. It reads df, so df should be a stored table."""
+    long = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    # A row of a hashed relation has a header, a word for each column, and what strings have besides.
+    width = sum(long, F.lit(64 + 8 * len(df.columns)))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= size else df
 
 
 def words_of(text: Column) -> Column:
