@@ -4,18 +4,23 @@ Each document of a source has the same expected number of copies, target / sourc
 its fractional part is an inclusion probability. The flight moves probabilities along directions that change neither their
 sum nor their sum weighted by document size (the null space of two constraints on three documents), until each is 0 or 1.
 
-The flight runs in blocks of documents dealt out by hash; of each source at most two documents of a block stay undecided. They
-fly again with those of other blocks, in groups of bounded size. At last a dozen documents of a source are left, and land.
+The flight runs in blocks of documents dealt out by hash; of each source at most two documents of a block stay undecided, and a
+reserve of its smallest ones is held back. They fly again with those of other blocks, in groups of bounded size. At last the reserve
+of a source is left with two other documents at most. These are drawn, what they miss in words is spread over the reserve's probabilities,
+and the reserve flies until a dozen small documents are left, of which the best choice is taken.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import WORD, free_name, small, stored
+from millrace.llm.shared import WORD, free_name, scratch, small, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -23,6 +28,8 @@ MOST_REPEATS = 3
 BLOCK_ROWS, GROUP_BLOCKS = 8192, 1024
 #: Documents of a source that are kept for the landing, besides the two at most that a flight leaves.
 LANDING = 10
+#: The reserve can take or give up so many times the largest document, but has at most that share of the documents.
+RESERVE, RESERVE_SHARE = 2.0, 0.75
 SEED = 17
 _EPS = 1e-9
 
@@ -107,32 +114,84 @@ def _land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pi
 
 
-def _flown(rows: pd.DataFrame, land: bool) -> pd.DataFrame:
-    """Rows of one group: rank, key, size, pi, draw. Larger documents are decided first. If they land, a few of all sizes stay for it."""
+def _spread(pi: np.ndarray, size: np.ndarray, words: float) -> np.ndarray:
+    """Probabilities moved alike, as far as 0 and 1 allow, so that they expect so many words more."""
+    aim, low, high = float(pi @ size) + words, -1.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.clip(pi + middle, 0, 1) @ size < aim else (low, middle)
+    return np.clip(pi + (low + high) / 2, 0, 1) if abs(words) > _EPS else pi
+
+
+def _open(pi: np.ndarray) -> np.ndarray:
+    return (pi > _EPS) & (pi < 1 - _EPS)
+
+
+def _reserve(pi: np.ndarray, size: np.ndarray, parts: int = 1) -> int:
+    """The place from which on documents, largest first, are the reserve. Each of several parts holds back less, for they come together."""
+    if not len(pi):
+        return 0
+    some = int(np.searchsorted(-size, 0))  # documents without words are none, but come last
+    room = np.cumsum((np.minimum(pi, 1 - pi) * size)[::-1])
+    most = min(int(RESERVE_SHARE * len(pi)) + 1, some)
+    return some - min(most, int(np.searchsorted(room[len(pi) - some :], RESERVE * size[0] / math.sqrt(parts))) + LANDING)
+
+
+def _settle(pi: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Decides the open rows of one source, largest first: all but the reserve, and then that."""
+    pi = pi.copy()
+    cut = _reserve(pi, size)
+    pi[:cut] = _fly(pi[:cut], size[:cut], draw[:cut])
+    left = np.flatnonzero(_open(pi[:cut]))
+    rest = np.arange(cut, len(pi))
+    room = float(pi[rest] @ size[rest]), float((1 - pi[rest]) @ size[rest])  # words the reserve can give up, and take
+    for i in left:
+        for choice in sorted((0.0, 1.0), key=lambda c: (c == 1) != (draw[i] < pi[i])):
+            missing = float((pi[i] - choice) * size[i])
+            if -room[0] <= missing <= room[1]:
+                break
+        else:
+            choice = round(pi[i])
+            missing = float((pi[i] - choice) * size[i])
+        pi[i] = choice
+        pi[rest] = _spread(pi[rest], size[rest], missing)
+        room = float(pi[rest] @ size[rest]), float((1 - pi[rest]) @ size[rest])
+    held = rest[np.unique(np.linspace(0, max(len(rest) - 1, 0), LANDING).round().astype(int))] if len(rest) else rest
+    fly = np.setdiff1d(rest, held, assume_unique=True)
+    pi[fly] = _fly(pi[fly], size[fly], draw[fly])
+    return _land(np.where(_open(pi), pi, pi.round()), size)
+
+
+def _flown(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Rows of one group, one of so many: rank, key, size, pi, draw. The reserve of each source stays as it is; with 0 parts all are decided."""
     rows = rows.sort_values(["rank", "size", "draw"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
     pi, size, draw, rank = (rows[c].to_numpy(dtype=t) for c, t in (("pi", float), ("size", float), ("draw", float), ("rank", np.int64)))
     edges = np.flatnonzero(np.diff(rank)) + 1
     for a, b in zip([0, *edges], [*edges, len(rows)], strict=True):
-        place = np.arange(a, b)
-        held = place[np.unique(np.linspace(0, len(place) - 1, LANDING).round().astype(int))] if land else place[:0]
-        fly = np.setdiff1d(place, held, assume_unique=True)
-        pi[fly] = _fly(pi[fly], size[fly], draw[fly])
-        if land:
-            pi[place] = _land(np.where((pi[place] > _EPS) & (pi[place] < 1 - _EPS), pi[place], pi[place].round()), size[place])
+        place = a + np.flatnonzero(_open(pi[a:b]))
+        pi[a:b] = np.where(_open(pi[a:b]), pi[a:b], pi[a:b].round())
+        if parts:
+            fly = place[: _reserve(pi[place], size[place], parts)]
+            pi[fly] = _fly(pi[fly], size[fly], draw[fly])
+        else:
+            pi[place] = _settle(pi[place], size[place], draw[place])
     rows["pi"] = pi
     return rows
 
 
+def _flight(parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda rows: _flown(rows, parts)
+
+
 def _sampled(units: DataFrame) -> DataFrame:
     """Adds chosen (0 or 1) to units (rank, key, size, pi, draw), whose key is unique within rank."""
     schema = units.schema
-    fly, land = (lambda x: _flown(x, False)), (lambda x: _flown(x, True))
     n = units.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     open_, decided = units, []
     keys: list = [F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(blocks)).alias("block")]
     while blocks > 1:
-        flown = stored(open_.groupBy(*keys).applyInPandas(fly, schema), "flown")
+        flown = stored(open_.groupBy(*keys).applyInPandas(_flight(min(blocks, GROUP_BLOCKS)), schema), "flown")
         undecided = (F.col("pi") > 0) & (F.col("pi") < 1)
         decided.append(flown.filter(~undecided))
         open_ = flown.filter(undecided)
@@ -142,7 +201,7 @@ def _sampled(units: DataFrame) -> DataFrame:
         # A source's undecided documents of up to GROUP_BLOCKS blocks fly together.
         keys = ["rank", F.pmod(F.xxhash64("key", F.lit(SEED + blocks)), F.lit(divisor)).alias("block")]
         blocks = divisor
-    out = open_.groupBy("rank").applyInPandas(land, schema)
+    out = open_.groupBy("rank").applyInPandas(_flight(0), schema)
     for d in decided:
         out = out.unionByName(d)
     return out.select("rank", "key", F.col("pi").cast("long").alias("chosen"))
@@ -176,7 +235,9 @@ def mix(
     texts have no words. Rows equal in id, source and size are decided together. Sources without words get 0. Reruns agree,
     however the table is split into files. Extra columns are not read.
     """
-    rows = _mixed(docs, id_col, text_col, source_col, weights, most)
+    with scratch(docs.sparkSession) as keep:
+        rows = stored(_mixed(docs, id_col, text_col, source_col, weights, most), "mixed")
+        keep(rows)
     return rows.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
@@ -186,7 +247,9 @@ def apply_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS
 ) -> DataFrame:
     """The mix itself: the rows of docs, each as often as mix() takes it, with all their columns."""
-    rows = stored(_mixed(docs, id_col, text_col, source_col, weights, most).filter("copies > 0").select("id", "source", "size", "copies"), "copies")
+    with scratch(docs.sparkSession) as keep:
+        rows = stored(_mixed(docs, id_col, text_col, source_col, weights, most).filter("copies > 0").select("id", "source", "size", "copies"), "copies")
+        keep(rows)
     i, s, z, c, again = (free_name(docs, f"__{x}") for x in ("id", "source", "size", "copies", "again"))
     size = free_name(docs, "__own_size")
     found = docs.withColumn(size, size_of(F.col(text_col))).join(
