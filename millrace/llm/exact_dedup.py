@@ -1,7 +1,7 @@
-"""Exact duplicates: groups by a 128-bit content hash, MD5, whose texts are then told apart by a second hash, SHA-256.
+"""Exact duplicates: groups by a 128-bit content hash, MD5, whose bytes are compared within groups, so that collisions are told apart.
 
-No text is shuffled but that of documents whose hash occurs more than once. Copies are counted before each shuffle,
-so a group that holds a third of all rows costs one row for each task.
+Documents are counted by hash first. Only texts whose hash occurs more than once are grouped by hash and text; each task sums up its
+copies before the shuffle, so a group that holds a third of all rows sends its text once for each task.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import free_name, small, stored
+from millrace.llm.shared import free_name, scratch, small, stored
 
 
 def _text(text_col: str) -> Column:
@@ -20,57 +20,58 @@ def _hash128(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _first(keep: str, member: str, n: str) -> Column:
-    """The unit that stays: the smallest or largest id, a null one only if there is no other."""
-    null = F.col(member).isNull()
-    if keep == "max":
-        return F.max(F.struct((~null).alias("known"), F.col(member).alias("id"), F.col(n).alias("n")))
-    if keep == "min":
-        return F.min(F.struct(null.alias("unknown"), F.col(member).alias("id"), F.col(n).alias("n")))
-    raise ValueError(f"keep is 'min' or 'max', not {keep!r}")
-
-
-def _classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
-    """(h, sha, class_size, stays, ties): a row for each text that several rows have. ties: rows with the id that stays."""
-    repeated = stored(units.groupBy("h").agg(F.sum("n").alias("rows")).filter("rows > 1").select("h"), "repeated")
+def _classes(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
+    """(h, text, class_size, stays): a stored row for each text under a hash that several rows have. text is null where the hash has
+    no other text, so that no join needs it there."""
+    if keep not in ("min", "max"):
+        raise ValueError(f"keep is 'min' or 'max', not {keep!r}")
+    stays = {"min": F.min, "max": F.max}[keep]  # null only if there is no other id
     text = docs.select(F.col(id_col).alias("id"), _text(text_col).alias("text")).withColumn("h", _hash128(F.col("text")))
-    # Texts under one hash are told apart by SHA-256, below; bytes are compared here only between rows of one id.
-    members = text.join(small(repeated), "h", "left_semi").groupBy("h", "text", "id").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        members.select("h", F.sha2("text", 256).alias("sha"), "id", "n")
-        .groupBy("h", "sha")
-        .agg(F.sum("n").alias("class_size"), _first(keep, "id", "n").alias("first"))
-        .filter("class_size > 1")
-        .select("h", "sha", "class_size", F.col("first.id").alias("stays"), F.col("first.n").alias("ties"))
-    )
-
-
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = _text(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), _hash128(text).alias("h"), F.sha2(text, 256).alias("sha"))
-    return stored(rows.groupBy("id", "h", "sha").agg(F.count(F.lit(1)).alias("n")), "units")
+    repeated = stored(text.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
+    same = text.join(small(repeated), "h", "left_semi").groupBy("h", "text").agg(F.count(F.lit(1)).alias("class_size"), stays("id").alias("stays"))
+    same = stored(same, "texts")
+    several = stored(same.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", F.lit(True).alias("several")), "collisions")
+    return stored(same.join(small(several), "h", "left").select("h", F.when(F.col("several"), F.col("text")).alias("text"), "class_size", "stays"), "classes")
+
+
+def _with_class(rows: DataFrame, classes: DataFrame, h: str, text: str, names: tuple[str, str]) -> DataFrame:
+    """Adds class_size and stays, under names, to rows with a hash h; null where no other row has the hash. Rows under a hash of several texts
+    are told apart by their bytes."""
+    size, stays = names
+    alone = classes.filter("text IS NULL").select(F.col("h").alias(h), F.col("class_size").alias(size), F.col("stays").alias(stays))
+    alone._stored_path = classes._stored_path
+    collided = classes.filter("text IS NOT NULL").select("h", "text", "class_size", "stays")
+    if collided.isEmpty():
+        return rows.join(small(alone), h, "left")
+    hashes = collided.select(F.col("h").alias(h)).distinct()
+    clear = rows.join(hashes, h, "left_anti").join(small(alone), h, "left")
+    mixed = rows.join(hashes, h, "left_semi").join(collided.toDF(h, text, size, stays), [h, text])
+    return clear.unionByName(mixed)
 
 
 def classify_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when both hashes are, which stand in for their bytes; null counts as empty. The row with the smallest id of a group stays
+    Texts are equal when their bytes are; null counts as empty. The row with the smallest id of a group stays
     (keep="max": the largest). Of repeated rows, equal in id and text, one stays. A null id stays only in a group
     without any other id; keep_id is null then. No rows: no rows. Extra columns of docs are not read.
     """
-    units = _units(docs, id_col, text_col)
-    classes = stored(_classes(docs, units, id_col, text_col, keep), "classes")
-    return (
-        units.join(small(classes), ["h", "sha"], "left")
-        .withColumn("keep_id", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("stays")))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-        .select(
-            F.col("id").alias(id_col),
-            "keep_id",
-            F.coalesce("class_size", F.lit(1).cast("long")).alias("group_size"),
-            (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            F.col("sha").alias("text_sha256"),
-        )
+    with scratch(docs.sparkSession) as keep_tables:
+        classes = _classes(docs, id_col, text_col, keep)
+        rows = docs.select(F.col(id_col).alias("id"), _text(text_col).alias("text"))
+        # Copies of a row are counted, so that one of them stays; the digest is 256 bits of each, and no text is shuffled for it.
+        rows = rows.select("id", "text", _hash128(F.col("text")).alias("h"), F.unhex(F.sha2("text", 256)).alias("sha"))
+        found = _with_class(rows, classes, "h", "text", ("class_size", "stays"))
+        found = found.select("id", "h", "sha", "class_size", "stays", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("stays")).alias("keep_id"))
+        units = found.groupBy("id", "keep_id", "sha", "class_size", "h").agg(F.count(F.lit(1)).alias("n"))
+        units = stored(units, "units")
+        keep_tables(units)
+    return units.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(
+        F.col("id").alias(id_col),
+        "keep_id",
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
@@ -79,13 +80,19 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of repeated rows, equal in id and text, any one stays with the other columns it has.
     """
-    units = _units(docs, id_col, text_col)
-    classes = stored(_classes(docs, units, id_col, text_col, keep), "classes")
-    h, sha, size, stays, ties = (free_name(docs, x) for x in ("__h", "__sha", "__size", "__stays", "__ties"))
-    named = classes.toDF(h, sha, size, stays, ties)
-    text = _text(text_col)
-    found = docs.withColumns({h: _hash128(text), sha: F.sha2(text, 256)}).join(small(named), [h, sha], "left")
-    once = F.col(size).isNull() | (F.col(id_col).eqNullSafe(F.col(stays)) & (F.col(ties) == 1))
-    several = F.col(size).isNotNull() & F.col(id_col).eqNullSafe(F.col(stays)) & (F.col(ties) > 1)
-    rest = found.filter(several).dropDuplicates([id_col, h, sha])
-    return found.filter(once).unionByName(rest).select(*docs.columns)
+    h, text, size, stays = (free_name(docs, x) for x in ("__h", "__text", "__size", "__stays"))
+    with scratch(docs.sparkSession) as keep_tables:
+        classes = _classes(docs, id_col, text_col, keep)
+        keep_tables(classes)
+        rows = docs.withColumns({h: _hash128(_text(text_col)), text: _text(text_col)})
+        found = _with_class(rows, classes, h, text, (size, stays)).filter(F.col(size).isNull() | F.col(id_col).eqNullSafe(F.col(stays)))
+        # Rows that repeat one that stays, if there are any; whole documents are grouped only then.
+        again = stored(found.filter(F.col(size).isNotNull()).groupBy(F.col(id_col).alias("id"), F.col(h).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "h"), "again")
+        if again.isEmpty():
+            return found.select(*docs.columns)
+        keep_tables(again)
+    i, g = free_name(docs, "__id"), free_name(docs, "__hash")
+    match = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(g))
+    once = found.join(small(again.toDF(i, g)), match, "left_anti")
+    rest = found.join(small(again.toDF(i, g)), match, "left_semi").dropDuplicates([id_col, h, text])
+    return once.select(*docs.columns).unionByName(rest.select(*docs.columns))
