@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import new_path, stored
+from millrace.llm.shared import new_path, scratch, small, stored
 
 VERSION, MAGIC = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
-_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION_LINE = re.compile(rb"WARC/[01]\.[0-9]{1,2}\r\n")
 _START = re.compile(_VERSION_LINE.pattern + b"|" + re.escape(MAGIC))
 #: An archive is closed when it has so many bytes; one is read as a whole.
 ARCHIVE_BYTES = 16 << 20
@@ -35,6 +35,18 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
+def same_digest(said: str, content: bytes) -> bool | None:
+    """Whether a digest header, sha1:, sha256: or md5: with base32 or hexadecimal in either case, is that of content; None for other forms."""
+    name, _, value = said.partition(":")
+    name, value = name.strip().lower(), value.strip().rstrip("=")
+    if name not in ("sha1", "sha256", "md5"):
+        return None
+    own = hashlib.new(name, content, usedforsecurity=False).digest()
+    if re.fullmatch("[0-9A-Fa-f]+", value) and len(value) == 2 * len(own):
+        return value.lower() == own.hex()
+    return value.upper() == base64.b32encode(own).decode().rstrip("=")
+
+
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member; the same record gives the same bytes."""
     lines = [*headers, ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), ("Content-Length", str(len(block)))]
@@ -65,6 +77,8 @@ class Record:
     end: int
     headers: dict[str, str] = field(repr=False)
     block: bytes = field(repr=False)
+    #: What is odd about a record that is sound all the same.
+    note: str = ""
 
     @property
     def payload(self) -> bytes:
@@ -88,25 +102,30 @@ def _record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if head < 0:
         return None, at, "header without end"
     headers: dict[str, str] = {}
+    name = ""
     for line in data[at:head].split(b"\r\n")[1:]:
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:  # a folded line goes on with the value before it
+            headers[name] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
         if not colon:
             return None, at, "broken header line"
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        headers[name] = value.strip()
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         return None, at, "no content length"
     start, end = head + 4, head + 4 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "block of another length"
-    record = Record(at, end + 4, headers, data[start:end])
-    digests = [("warc-block-digest", record.block)]
-    if headers.get("warc-type") == "response":
-        digests.append(("warc-payload-digest", record.payload))
-    for name, content in digests:
-        said = headers.get(name, "")
-        if said.startswith("sha1:") and said[5:] != sha1_base32(content):
-            return None, at, f"{name} differs"
+    block = data[start:end]
+    if same_digest(headers.get("warc-block-digest", ""), block) is False:
+        return None, at, "warc-block-digest differs"
+    record = Record(at, end + 4, headers, block)
+    # Writers differ in what they call the payload, such as the body before or after its transfer encoding is taken off.
+    if headers.get("warc-type") == "response" and same_digest(headers.get("warc-payload-digest", ""), record.payload) is False:
+        record = Record(at, end + 4, headers, block, "warc-payload-digest differs")
     return record, end + 4, ""
 
 
@@ -171,7 +190,7 @@ def _inside(data: memoryview, at: int) -> tuple[list[Record | Gap], int, str]:
         return list(salvage_plain(content)), end, ""
     content, end = _before_damage(data, at)
     cut = end == len(data)
-    kept = [x for x in salvage_plain(content) if isinstance(x, Record) and (cut or x.headers.get("warc-block-digest", "").startswith("sha1:"))]
+    kept = [x for x in salvage_plain(content) if isinstance(x, Record) and (cut or same_digest(x.headers.get("warc-block-digest", ""), x.block))]
     return list(kept), _before_damage(data, at, kept[-1].end)[1] if kept else at, wrong
 
 
@@ -193,7 +212,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
                 if isinstance(x, Gap):
                     yield Gap(at, end, f"inside a member: {x.reason}")
                 else:
-                    yield Record(at, end, x.headers, x.block) if packed else x
+                    yield Record(at, end, x.headers, x.block, x.note) if packed else x
             at = end
             if not wrong:
                 continue
@@ -222,11 +241,13 @@ def write_archives(
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    # Equal payloads are found by SHA-256; the first id is found before anything is shuffled, and no page is sent twice.
+    # Equal payloads are found by SHA-256. Digests that occur once are dropped before the join, and pages stay where they are
+    # as long as the rest is small enough to be sent to them.
     rows = rows.withColumn("same", F.unhex(F.sha2("payload", 256)))
-    first = rows.select("same", "id").groupBy("same").agg(F.min("id").alias("first"))
-    revisit = ~F.col("id").eqNullSafe(F.col("first")) & (F.length("payload") >= least_bytes)
-    ready = rows.join(first, "same").withColumn("refers_to", F.when(revisit, F.col("first"))).withColumn("revisit", revisit).drop("first")
+    first = rows.select("same", "id").groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = stored(first, "first")
+    revisit = ~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull() & (F.length("payload") >= least_bytes)
+    ready = rows.join(small(first), "same", "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -259,35 +280,33 @@ def write_archives(
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], ["path", "records", "bytes"])
 
-    # In this order a task that runs again writes the same archives again.
-    ordered = ready.select("id", "url", "payload", "refers_to", "revisit", "same").sortWithinPartitions("same", "id", "url")
-    return stored(ordered.drop("same").mapInArrow(run, "path string, records bigint, bytes bigint"), "archives")
-
-
-
+    return stored(ready.select("id", "url", "payload", "refers_to", "revisit").mapInArrow(run, "path string, records bigint, bytes bigint"), "archives")
 
 
 def read_archives(spark: SparkSession, path: str, wanted: Mapping[str, int] | None = None) -> DataFrame:
     """A row for each record, warcinfo aside, and each gap of the archives in a folder (or under a glob).
 
-    (path, start, end, gap, record_type, record_id, refers_to, uri, payload_bytes, payload_digest, payload). For gaps, gap is the
-    reason and what follows is null. A revisit has no payload; its bytes and digest are those of the response.
+    (path, start, end, gap, record_type, record_id, refers_to, uri, payload_bytes, payload_digest, payload, note). For gaps, gap is the
+    reason and what follows is null. A revisit has no payload; its bytes and digest are those of the response. note tells of a payload
+    digest that isn't that of the payload as it stands; payload_digest is then the payload's own. Each archive is read as one value,
+    so it may have 2 GB at most.
     With wanted, records by name of archive, it is an error if the folder has other archives or one has another number of records.
     """
-    names = ["path", "start", "end", "gap", "record_type", "record_id", "refers_to", "uri", "payload_bytes", "payload_digest", "payload"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    names = ["path", "start", "end", "gap", "record_type", "record_id", "refers_to", "uri", "payload_bytes", "payload_digest", "payload", "note"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
 
     def row(name: str, x: Record | Gap) -> tuple | None:
         if isinstance(x, Gap):
-            return (name, x.start, x.end, x.reason, *[None] * 7)
+            return (name, x.start, x.end, x.reason, *[None] * 8)
         kind, h = x.headers.get("warc-type"), x.headers
         if kind == "warcinfo":
             return None
-        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or sha1_base32(x.payload)
+        own = (name, x.start, x.end, None, kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"))
         if kind == "revisit":
             said = re.search(rb"(?i)\r\nContent-Length: *(\d+)", x.block)
-            return name, x.start, x.end, None, kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), int(said[1]) if said else None, digest, None
-        return name, x.start, x.end, None, kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), len(x.payload), digest, x.payload
+            digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
+            return *own, int(said[1]) if said else None, digest or None, None, x.note or None
+        return *own, len(x.payload), sha1_base32(x.payload), x.payload, x.note or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +316,7 @@ def read_archives(spark: SparkSession, path: str, wanted: Mapping[str, int] | No
                     if made := row(name, x):
                         records += isinstance(x, Record)
                         part.append(made)
-                        size += len(made[-1] or b"")
+                        size += len(made[-2] or b"")
                     if size > ARCHIVE_BYTES or len(part) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
                         part, size = [], 0
@@ -306,7 +325,7 @@ def read_archives(spark: SparkSession, path: str, wanted: Mapping[str, int] | No
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
 
-    schema = "path string, start bigint, end bigint, gap string, record_type string, record_id string, refers_to string, uri string, payload_bytes bigint, payload_digest string, payload binary"
+    schema = "path string, start bigint, end bigint, gap string, record_type string, record_id string, refers_to string, uri string, payload_bytes bigint, payload_digest string, payload binary, note string"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
     if wanted is not None:
         there = sorted(r["path"].rpartition("/")[2] for r in files.select("path").collect())
@@ -326,8 +345,9 @@ def round_trip(pages: DataFrame, **options: object) -> DataFrame:
     It fails if an archive has another number of valid records than were written."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    written = write_archives(pages, path, **options)
-    wanted = {r["path"].rpartition("/")[2]: r["records"] for r in written.select("path", "records").collect()}  # one for each archive
+    with scratch(spark):
+        written = write_archives(pages, path, **options)
+        wanted = {r["path"].rpartition("/")[2]: r["records"] for r in written.select("path", "records").collect()}  # one for each archive
     if not wanted:
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
     found = read_archives(spark, path, wanted).filter("gap IS NULL")

@@ -399,6 +399,35 @@ def test_salvage_of_mixed_and_broken_archives():
         assert got[:3] == [0, 1, 2] and got[-2:] == [6, 7] and len(got) == len(set(got)) and 3 not in got and gaps
 
 
+def test_records_of_other_writers_are_sound():
+    import gzip
+
+    from millrace.llm.warc import Gap, Record, salvage, sha1_base32
+
+    body = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    sha = hashlib.sha1(body)
+    cases = [  # version, headers, whether the record is sound, whether it gets a note
+        (b"WARC/1.0", [f"WARC-Block-Digest: sha1:{sha1_base32(body)}", f"WARC-Payload-Digest: sha1:{sha1_base32(b'hello')}"], True, True),
+        (b"WARC/1.1", [f"WARC-Block-Digest: sha1:{sha1_base32(body).lower()}"], True, False), (b"WARC/1.1", [f"WARC-Block-Digest: SHA1:{sha.hexdigest()}"], True, False),
+        (b"WARC/0.18", [f"WARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}"], True, False), (b"WARC/1.0", ["WARC-Note: a long", "  folded", "\tline"], True, False),
+        (b"WARC/1.0", ["WARC-Block-Digest: blake3:abc"], True, False), (b"WARC/1.0", [f"WARC-Block-Digest: sha1:{sha1_base32(b'other')}"], False, False),
+    ]
+    for version, headers, sound, note in cases:
+        head = "\r\n".join(["WARC-Type: response", "Content-Type: application/http", *headers, f"Content-Length: {len(body)}"]).encode()
+        data = version + b"\r\n" + head + b"\r\n\r\n" + body + b"\r\n\r\n"
+        for archive in (data, gzip.compress(data)):
+            (found,) = salvage(archive)
+            assert isinstance(found, Record if sound else Gap), (version, headers)
+            assert not sound or (bool(found.note) == note and found.block == body)
+    folded = version + b"\r\nWARC-Type: x\r\nWARC-Note: a\r\n b\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert next(salvage(folded)).headers["warc-note"] == "a b"
+    # One wrong byte in the trailer of a member of many records costs none of them.
+    records = b"".join(b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: 5\r\n\r\n%05d\r\n\r\n" % (sha1_base32(b"%05d" % i).encode(), i) for i in range(50))
+    packed = bytearray(gzip.compress(records))
+    packed[-6] ^= 1
+    assert [x.block for x in salvage(bytes(packed)) if isinstance(x, Record)] == [b"%05d" % i for i in range(50)]
+
+
 def test_no_record_is_lost_silently(spark, monkeypatch):
     from millrace.llm import warc
 
