@@ -174,13 +174,18 @@ def test_bpe_is_that_of_tiktoken(spark, documents, bpe_parts):
     for i in range(len(ODD) + 2, len(ODD) + 60):
         starts = [s["start"] for s in got[i]["offsets"]]
         assert starts == reference.decode_with_offsets(got[i]["ids"])[1]
+        spans = np.array([[x["start"], x["end"]] for x in got[i]["offsets"]], dtype="<i4")
+        assert got[i]["offsets_sha256"] == hashlib.sha256(spans.tobytes()).hexdigest()
     back = {r["doc_id"]: r["text"] for r in rows(decode(out.select("doc_id", "ids"), data))}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
     assert encode(docs.limit(0), data, pattern).count() == 0
 
 
 def test_bpe_decodes_split_characters(spark, bpe_parts):
-    from millrace.llm.bpe import decode, read_ranks
+    from millrace.llm.bpe import decode, from_chars, read_ranks, to_chars
+
+    every = bytes(range(256))
+    assert len(set(to_chars(every))) == 256 and from_chars(to_chars(every)) == every and to_chars(b" a\n") == "\u0120a\u010a"
 
     ranks = read_ranks(bpe_parts[0])
     part = [ranks[bytes([b])] for b in "🙂".encode()]
