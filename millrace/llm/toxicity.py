@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
 
-#: Categories in the order of the chain: name, and condition on a row of labels. The verdict is that of VERDICT.
-CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
+#: Categories in the order of the chain: name, and condition on a row of labels. The labels have these two; the verdict is the last link's,
+#: which the ones before it feed. Tables with more categories are trained with more conditions.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 VERDICT = "toxic"
 #: Labelled rows that the models are fitted on at most: those of the smallest hash of their id.
 SAMPLE_ROWS = 8000
 #: Features for each category at most, how often they occur in the sample at least, and how surprising their share of positive rows is.
 FEATURES, LEAST_ROWS, LEAST_Z = 256, 4, 4.0
-FOLDS, PENALTY, LEAST_CUT = 5, 0.05, 0.1
+FOLDS, PENALTY = 5, 0.05
 
 #: Stands after a feature that a text has twice or more, which is a feature of its own.
 TWICE = " 2"
@@ -87,14 +88,25 @@ class Chain:
         return out
 
 
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        """[rows, categories] of whole texts. A text without words, or null, is of no category."""
+        x, empty = np.zeros((len(texts), len(self.vocabulary)), dtype=np.float32), np.zeros(len(texts), dtype=bool)
+        for i, text in enumerate(texts):
+            found = words_in(text.as_py())
+            empty[i] = not found
+            x[i, [self.vocabulary[w] for w in found & self.vocabulary.keys()]] = 1
+        out = self.probabilities(x)
+        out[empty] = 0
+        return out
+
+
 def _odds(p: np.ndarray, least: float = 1e-4) -> np.ndarray:
     p = np.clip(p, least, 1 - least)
     return np.log(p / (1 - p))
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability that tells the rows apart with the fewest errors; of several the middle of the widest gap, in log-odds.
-    Never below LEAST_CUT or above 1 - LEAST_CUT: between rows that are all far off a bounded sample says little."""
+    """The probability that tells the rows apart with the fewest errors; of several the middle of the widest gap, in log-odds."""
     if not 0 < y.sum() < len(y):
         return 0.5
     order = np.argsort(p, kind="stable")
@@ -105,7 +117,7 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     if not np.isfinite(errors).any() or errors.min() >= y.sum():
         return 0.5
     i = np.argmax(np.where(errors == errors.min(), gap, -1))
-    return min(max(float(_sigmoid((odds[i] + odds[i + 1]) / 2)), LEAST_CUT), 1 - LEAST_CUT)
+    return float(_sigmoid((odds[i] + odds[i + 1]) / 2))
 
 
 def fit_chain(names: tuple[str, ...], vocabulary: Mapping[str, int], columns: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray) -> Chain:
@@ -124,7 +136,8 @@ def fit_chain(names: tuple[str, ...], vocabulary: Mapping[str, int], columns: tu
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: Mapping[str, str] = CATEGORIES, rows: int = SAMPLE_ROWS) -> Chain:
-    """Fits the chain on at most so many labelled rows of docs. Label rows with a null are left out; of repeated ones the larger values count."""
+    """Fits the chain on at most so many labelled rows of docs. Label rows with a null are left out; of repeated ones the larger values count,
+    and of documents that share an id the one whose words come first in order."""
     names = tuple(categories)
     flags = [F.max(F.expr(c).cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())]
     ys = [f"y{k}" for k in range(len(names))]
@@ -138,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     text = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")).join(F.broadcast(some), "id")
     kind = dict(text.dtypes)["id"]
-    sample = stored(text.select("text", "id", *ys).mapInArrow(read, f"id {kind}, {', '.join(f'{y} int' for y in ys)}, words array<string>").dropDuplicates(["id"]), "sample")
+    sample = stored(text.select("text", "id", *ys).mapInArrow(read, f"id {kind}, {', '.join(f'{y} int' for y in ys)}, words array<string>").groupBy("id", *ys).agg(F.min("words").alias("words")), "sample")
     seen = sample.agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     if not seen["n"]:
         return Chain(names, {}, (), ())
@@ -162,21 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None, verdict: str = VERDICT) -> DataFrame:
     """One row for each row of docs: id_col, p_<category> for each category, toxic, kept.
 
-    Whole texts are read. A null or empty text has no words: it gets the chain's base rates. Repeated rows give repeated
+    Whole texts are read. A null or empty text has no words: it gets 0 and stays. Repeated rows give repeated
     rows; extra columns are not read. A chain without labels says 0 for all. Without a threshold the chain's own cut holds.
     """
     kind = dict(docs.dtypes)[id_col]
     names, at = [f"p_{n}" for n in chain.names], chain.names.index(verdict)
     threshold = chain.cut(verdict) if threshold is None else threshold
-    vocabulary = frozenset(chain.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.zeros((len(batch), len(vocabulary)), dtype=np.float32)
-            for i, text in enumerate(batch.column(1)):
-                for w in words_in(text.as_py()) & vocabulary:
-                    x[i, chain.vocabulary[w]] = 1
-            p = chain.probabilities(x)
+            p = chain.of_texts(batch.column(1))
             toxic = p[:, at] >= threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in p.T), pa.array(toxic), pa.array(~toxic)], [id_col, *names, "toxic", "kept"])
 
@@ -186,16 +194,12 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float | None = None, verdict: str = VERDICT) -> DataFrame:
     """The rows of docs that score() keeps, with all their columns; no shuffle, whatever the ids are."""
-    at, vocabulary = chain.names.index(verdict), frozenset(chain.vocabulary)
+    at = chain.names.index(verdict)
     threshold = chain.cut(verdict) if threshold is None else threshold
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.zeros((len(batch), len(vocabulary)), dtype=np.float32)
-            for i, text in enumerate(batch.column(text_at)):
-                for w in words_in(text.as_py()) & vocabulary:
-                    x[i, chain.vocabulary[w]] = 1
-            yield batch.filter(pa.array(chain.probabilities(x)[:, at] < threshold))
+            yield batch.filter(pa.array(chain.of_texts(batch.column(text_at))[:, at] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 import base64
 import datetime
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -251,11 +252,32 @@ def test_toxic_documents_are_found(spark):
     known += [(i, 1, 0) for i, t in enumerate(toxic) if not i % 2 and i < 100 and not t] + [(i, 1, 1) for i, t in enumerate(toxic) if t and i < 300]
     labels = spark.createDataFrame([*known, *known[:20], (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     chain = train(docs, labels)
-    assert chain.names == ("low_quality", "toxic", "toxic_low_quality") and len(chain.weights[2]) == len(chain.columns[2]) + 3
+    assert chain.names == ("low_quality", "toxic") and len(chain.weights[1]) == len(chain.columns[1]) + 2
     got = {r["doc_id"]: r for r in rows(score(docs, chain))}
     assert [got[i]["toxic"] for i in range(len(texts))] == toxic
     left = drop_toxic(docs, chain)
     assert left.columns == docs.columns and left.count() == toxic.count(False)
+    for i in range(0, len(texts), 7):  # a plain version
+        earlier = []
+        for columns, w in zip(chain.columns, chain.weights, strict=True):
+            has = Counter(re.findall(r"[^\W\d_]+", texts[i].lower()))
+            stems = Counter()
+            for word, n in has.items():
+                for k in (4, 5):
+                    if len(word) > k:
+                        stems[word[:k] + "-"] += n
+            has += stems
+            names = sorted(chain.vocabulary, key=chain.vocabulary.get)
+            on = [float(has[names[c].removesuffix(" 2")] > names[c].endswith(" 2")) for c in columns]
+            z = sum(a * b for a, b in zip([*on, *[math.log(q / (1 - q)) for q in earlier], 1.0], w, strict=True))
+            earlier.append(min(max(1 / (1 + math.exp(-min(max(z, -30), 30))), 1e-4), 1 - 1e-4))
+        assert abs(earlier[0] - got[i]["p_low_quality"]) < 1e-3 and abs(earlier[1] - got[i]["p_toxic"]) < 1e-3
+    # Where most documents are toxic, one without words is not, and a repeated id gives the same model again.
+    most = spark.createDataFrame([(i, 1, 1) for i in range(500)], "doc_id long, quality int, toxic int")
+    assert not any(r["toxic"] for r in rows(score(frame(spark, [None, "", "12 34"]), train(docs, most))))
+    twice = frame(spark, texts + texts[::-1], ids=[*range(len(texts))] * 2)
+    a, b = train(twice, labels), train(twice.orderBy("text"), labels)
+    assert a.vocabulary == b.vocabulary and all((x == y).all() for x, y in zip(a.weights, b.weights, strict=True))
     odd = frame(spark, ODD, ids=[0, 1, 2, 3, 3, 5, 6, 7, None])
     assert len(rows(score(odd, chain))) == len(ODD) and not any(r["toxic"] for r in rows(score(odd, chain)))
     untrained = train(docs, labels.limit(0))
@@ -269,7 +291,7 @@ def test_features_and_cut():
 
     assert words_in("Foobars foobarly x, X!") == {"foobars", "foobarly", "x", "x 2", "foob-", "foob- 2", "fooba-", "fooba- 2"} and words_in(None) == set()
     p, y = np.array([0.01, 0.02, 0.2, 0.9, 0.95]), np.array([0.0, 0, 1, 1, 1])
-    assert best_cut(p, y) == 0.1 and best_cut(p, 0 * y) == 0.5 == best_cut(p, 0 * y + 1) == best_cut(0 * p, y)
+    assert 0.02 < best_cut(p, y) < 0.2 and best_cut(p, 0 * y) == 0.5 == best_cut(p, 0 * y + 1) == best_cut(0 * p, y)
     assert 0.2 < best_cut(p, np.array([0.0, 0, 0, 1, 1])) < 0.9 and best_cut(p, np.array([1.0, 0, 0, 0, 0])) == 0.5
 
 
@@ -308,6 +330,12 @@ def test_later_models_get_out_of_fold_probabilities():
     assert ((chain.probabilities(x) > 0.5) == (y > 0.5)).mean() > 0.97
     w = fit_logistic(x, y[:, 0])
     assert abs(x.T @ (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y[:, 0]) + 0.05 * w[:-1]).max() < 1e-4
+    # A first link of many features knows its own rows by heart, though its category is drawn at random. In-fold probabilities would tell
+    # a second link of the same category all; out-of-fold ones tell it nothing.
+    x = (rng.random((150, 200)) < 0.5).astype(float)
+    y = np.repeat((rng.random(150) < 0.5).astype(float)[:, None], 2, axis=1)
+    chain = fit_chain(("a", "b"), {str(i): i for i in range(200)}, (np.arange(200), np.arange(0)), x, y)
+    assert ((chain.probabilities(x)[:, 0] > 0.5) == (y[:, 0] > 0.5)).all() and abs(chain.weights[1][0]) < 0.2
 
 
 # 5
@@ -479,15 +507,35 @@ def test_secret_patterns(spark, documents):
     assert scan(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_markov_models_tell_random_strings():
-    from millrace.llm.secret_scan import find, labelled_samples, train
+def test_markov_models_tell_random_strings(spark):
+    from millrace.llm.secret_scan import find, labelled_samples, learn, scan, train
 
-    model = train(labelled_samples())
+    model = train(labelled_samples(), labelled_samples(seed=8))
     held = labelled_samples(1500, seed=99)
-    right = sum((model.score(t) > model.threshold) == label for t, label in held) / len(held)
-    assert right > 0.97
-    assert [k for *_, k in find("see Zq8hT2mVx0Rk7LwYp3Jd9Nf1 and getUserAccountByIdentifier here", model)] == ["markov"]
-    assert find("donaudampfschifffahrtsgesellschaft http://a.example/some/ordinary/path/to/page", model) == []
+    said = [(model.score(t) > model.threshold, label) for t, label in held]
+    assert sum(a and b for a, b in said) / sum(a for a, _ in said) > 0.99 and sum(a and b for a, b in said) / sum(b for _, b in said) > 0.95
+    for text in ("see Zq8hT2mVx0Rk7LwYp3Jd9Nf1 and getUserAccountByIdentifier here", "config_manager_session_value_name=Zq8hT2mVx0Rk7LwYp3Jd9Nf1", "/etc/service/Zq8hT2mVx0Rk7LwYp3Jd9Nf1/list"):
+        assert [k for *_, k in find(text, model)] == ["markov"], text
+    german = "verwaltung gesellschaft entwicklung arbeit zwischen schiffe fahrten werden eine nicht dampf donner sprache anderen durch einigen".split()
+    assert find("donaudampfschifffahrtsgesellschaft", train(labelled_samples(words=german), labelled_samples(seed=8, words=german))) == []
+    assert find("http://a.example/some/ordinary/path/to/page 2024-01-01T00-00-00-000Z 2024-01-01_2024-12-31_2025", model) == []
+    # Words of a corpus are ordinary, in names of which the model has seen none.
+    own = ["xyqzu", "qwxzk", "vbqxj", "zzkxq", "jqxvw", "wqzxj"]
+    rng = random.Random(3)
+    corpus = frame(spark, [" ".join(rng.choices(own + WORDS, k=60)) + f" key: {'%032x' % rng.getrandbits(128)}" for _ in range(200)] + ODD)
+    names = ["_".join(rng.choices(own, k=5)) for _ in range(100)]
+    learnt = learn(corpus)
+    wrong = [sum(m.score(t) > m.threshold for t in names) for m in (model, learnt)]
+    assert wrong[0] > 50 and wrong[1] < 10
+    assert (learn(corpus.repartition(7)).ratio == learnt.ratio).all()
+    # Planted keys are found in whole texts, and nothing else is.
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choices(alphabet, k=32)) for _ in range(100)]
+    texts = [f"{prose(rng, 30)} é {k} {'_'.join(rng.choices(WORDS, k=4))} {prose(rng, 10)}" for k in keys]
+    got = {r["doc_id"]: r["spans"] for r in rows(scan(frame(spark, texts)))}
+    due = {i: f"markov:{t.index(k)}:{t.index(k) + 32}" for i, (t, k) in enumerate(zip(texts, keys, strict=True))}
+    assert sum(got[i] == due[i] for i in due) >= 97
+    assert learn(corpus.limit(0)).threshold == learn(frame(spark, [None, ""])).threshold
 
 
 # 7
@@ -572,6 +620,45 @@ def test_languages(spark, documents):
     assert "xx" in few.languages
 
 
+def test_language_scores_are_those_of_a_plain_version(spark):
+    from millrace.llm.language import LEAST_GRAMS, LEAST_WORDS, predict, train
+
+    rng = random.Random(8)
+    own = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["quick", "brown", "foxes", "lore"], "cc": ["über", "straße", "mädchen", "amt"]}
+    texts, langs = [], []
+    for _ in range(120):
+        langs.append(rng.choice(list(own)))
+        texts.append(" ".join(rng.choices(own[langs[-1]], k=12)))
+    got = {r["doc_id"]: r for r in rows(predict(frame(spark, [*texts, "dolorous übermut lorebrown", "7 8", None]), train(frame(spark, texts, langs=langs))))}
+    counts = {k: defaultdict(lambda: defaultdict(float)) for k in range(5)}
+    for t, x in zip(texts, langs, strict=True):
+        for w in t.split():
+            counts[0][w][x] += 1
+            for k in (1, 2, 3, 4):
+                m = f"\x02{w}\x03" if k > 1 else w
+                for i in range(len(m) - k + 1):
+                    counts[k][m[i : i + k]][x] += 1
+    kept = {k: {g: {x: n if n >= (LEAST_GRAMS if k else LEAST_WORDS) else 0 for x, n in c.items()} for g, c in t.items()} for k, t in counts.items()}
+    kept = {k: {g: c for g, c in t.items() if any(c.values())} for k, t in kept.items()}
+    total = {k: {x: sum(c.get(x, 0) for c in t.values()) + 0.5 * (len(t) + 1) for x in own} for k, t in kept.items()}
+    log = lambda k, g, x: math.log((kept[k][g].get(x, 0) + 0.5) / total[k][x])
+
+    def score(w, x):
+        if w in kept[0]:
+            return log(0, w, x)
+        m, found = f"\x02{w}\x03", []
+        for i in range(len(m)):
+            k = next((k for k in (4, 3, 2, 1) if m[i : i + k] in kept[k] and i + k <= len(m)), None)
+            found += [log(k, m[i : i + k], x)] if k else []
+        return sum(found) / max(len(found), 1)
+
+    for i, t in enumerate([*texts, "dolorous übermut lorebrown"]):
+        odds = {x: sum(score(w, x) for w in t.split()) / len(t.split()) * min(len(t.split()), 20) for x in own}
+        best = max(sorted(odds), key=odds.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - 1 / sum(math.exp(o - odds[best]) for o in odds.values())) < 1e-4
+    assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (len(texts) + 1, len(texts) + 2))
+
+
 def test_unseen_words_back_off():
     from millrace.llm.language import Model, grams
 
