@@ -89,11 +89,49 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), key=PII_KEY)
 
 
+# Columns of the queries above that SQL can state, over the same whole tables.
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return found | {f.__name__: f for f in (mix_targets, bpe_round_trip, secret_base_counts)}
 
 
 ORACLE = {
+    "mix_targets": r"""
+        WITH sizes AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sizes GROUP BY source
+        ), weighed AS (
+            SELECT source, source_size, [5, 2, 1][1 + place % 3]::DOUBLE AS weight, 3::DOUBLE * source_size AS cap, place FROM sources
+        ), before AS (  -- sources reach their cap in the order of cap by weight
+            SELECT *, cap / weight <= (sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS at_cap
+            FROM weighed WINDOW earlier AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), levels AS (
+            SELECT (sum(source_size) - coalesce(sum(cap) FILTER (WHERE at_cap), 0)) / sum(weight) FILTER (WHERE NOT at_cap) AS level FROM before
+        )
+        SELECT doc_id, size, source_size, least(weight * coalesce(level, 0), cap)::DOUBLE AS target
+        FROM sizes JOIN before ON sizes.source IS NOT DISTINCT FROM before.source CROSS JOIN levels""",
+    "bpe_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+    "secret_base_counts": r"""
+        SELECT doc_id,
+               len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6))::BIGINT AS n_assign,
+               len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20))::BIGINT AS n_access,
+               len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24))::BIGINT AS n_hex
+        FROM documents""",
     "op3_quality_rules": r"""
         WITH texts AS (
             SELECT doc_id, coalesce(text, '') AS text,
