@@ -99,3 +99,7 @@ class InvalidRange(MillraceError):
 
 class QueryCancelled(MillraceError):
     """The query was cancelled."""
+
+
+class InvalidParallelism(MillraceError):
+    """A query needs one task at least."""

@@ -323,6 +323,21 @@ def array_xor(left: Expr, right: Expr) -> Expr:
     return _strict_logic("xor", left, right, operator.ne)
 
 
+def array_not(of: Expr) -> Expr:
+    """The opposite; null stays null."""
+    if of.type != BOOLEAN:
+        raise NotBoolean(f"{of.text} is {of.type}")
+    return Expr(~of.column, BOOLEAN, "arith", f"not({of.text})")
+
+
+def array_and_scalar(left: Expr, value: bool) -> Expr:
+    return array_and(left, const(value, BOOLEAN))
+
+
+def array_or_scalar(left: Expr, value: bool) -> Expr:
+    return array_or(left, const(value, BOOLEAN))
+
+
 def _interval(op: str, left: Expr, right: Expr, apply: Callable[[Column, Column], Column]) -> Expr:
     for e in (left, right):
         if e.type != INTERVAL:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Callable, Mapping, Sequence
 from typing import TYPE_CHECKING
 
+from pyspark.sql import DataFrame
+
 from millrace.errors import ConstantPredicate, EmptyProjection, FieldOutOfRange, FieldTypeMismatch, InvalidPredicate, LimitOutOfRange, UnionInputs
 from millrace.functions.expressions import DEFAULT, Expr, Options, internal
 from millrace.types import BOOLEAN, LogicalType
@@ -79,11 +82,12 @@ def limit(plan: Plan, n: int, offset: int = 0) -> Plan:
 
 
 def _far_limit(frame, n: int, offset: int):
-    """Rows [offset, offset + n) by the number of rows before them in their partition and in those before it."""
+    """Rows [offset, offset + n) by the number of rows before them in their partition and in those before it. The input is checkpointed,
+    so that both readings find the same rows in the same places."""
     from pyspark.sql import functions as F
 
     columns = frame.columns
-    placed = frame.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place"))
+    placed = checkpointed(frame).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place"))
     before, start = [], 0
     for part, rows in sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect()):
         before += [F.lit(part), F.lit(start)]
@@ -92,3 +96,33 @@ def _far_limit(frame, n: int, offset: int):
         return frame
     place = F.create_map(*before)[F.col("__part")] + F.col("__place").bitwiseAND((1 << 33) - 1)
     return placed.filter((place >= offset) & (place < offset + n)).select(*columns)
+
+
+def checkpointed(frame):
+    """frame, stored in the folder of spark.checkpoint.dir; in a temporary one only where that is unset and Spark runs in one process."""
+    sc = frame.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        sc.setCheckpointDir(folder)
+    return frame.checkpoint()
+
+
+def custom(plan: Plan, name: str, transform: Callable[[DataFrame], DataFrame], fields: Mapping[str, LogicalType] | None = None) -> Plan:
+    """An operator of one's own: transform gets the plan's DataFrame under its fields' names, and returns another, of these fields or, without
+    fields, of those that its columns tell. Built-in functions, mapInPandas or mapInArrow, or a join with another table."""
+    from millrace.plans.plan import Field, Plan
+    from millrace.types import of_spark
+
+    out = transform(plan.dataframe())
+    if fields is None:
+        logical = {f.name: f.metadata.get("logical") for f in out.schema.fields}
+        kept = {f.name: f.type for f in plan.fields if logical.get(f.name) == str(f.type)}
+        fields = {f.name: kept.get(f.name) or of_spark(f.dataType, None) for f in out.schema.fields}
+    found = [f.dataType for f in out.schema.fields]
+    if found != [t.stored for t in fields.values()]:
+        raise FieldTypeMismatch(f"{name} returns {out.schema.simpleString()}, not {({n: str(t) for n, t in fields.items()})}")
+    return Plan(out.toDF(*[internal(i) for i in range(len(fields))]), tuple(Field(n, t) for n, t in fields.items()), f"{name}[{', '.join(fields)}]", (plan,))

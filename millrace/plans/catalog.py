@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace import types as t
 from millrace.functions import (
@@ -13,13 +15,18 @@ from millrace.functions import (
     and_,
     arith,
     array_and,
+    array_and_scalar,
+    array_not,
     array_or,
+    array_or_scalar,
     array_xor,
     avg,
     compare,
     const,
     count,
     count_star,
+    custom_aggregate,
+    custom_scalar,
     interval_add,
     interval_sub,
     is_not_null,
@@ -32,6 +39,7 @@ from millrace.functions import (
     sum_,
 )
 from millrace.plans.plan import Plan
+from millrace.sources import custom as custom_source
 from millrace.sources import dataframe, empty, memory, numbers, parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,6 +343,13 @@ def bool_array_kernels(spark, sf_dir):
     return plan.project(plan["o_orderkey"], array_and(b, c).alias("both_"), array_or(b, c).alias("either_"), array_xor(b, c).alias("one_"))
 
 
+@query(f"SELECT o_orderkey, NOT b AS not_, b AND CASE WHEN b IS NOT NULL THEN true END AS and_true, CASE WHEN b IS NOT NULL THEN b AND false END AS and_false, CASE WHEN b IS NOT NULL THEN b OR true END AS or_true FROM (SELECT o_orderkey, {_NULL_KEY} AS b FROM orders)")
+def bool_scalar_kernels(spark, sf_dir):
+    plan = _with(spark, sf_dir, "orders", b=_NULL_KEY)
+    b = plan["b"]
+    return plan.project(plan["o_orderkey"], array_not(b).alias("not_"), array_and_scalar(b, True).alias("and_true"), array_and_scalar(b, False).alias("and_false"), array_or_scalar(b, True).alias("or_true"))
+
+
 _ORDER = ("o_orderkey",)
 _PRICE = lambda p: compare(p["o_totalprice"], ">", const(100000.0, t.F64))
 _filter_query("and_conj", "o_totalprice > 100000.0 AND o_orderstatus = 'F' AND o_custkey > 100", "orders", _ORDER, lambda p: and_(_PRICE(p), compare(p["o_orderstatus"], "==", const("F", t.VARCHAR)), compare(p["o_custkey"], ">", const(100, t.I64))))
@@ -509,3 +524,58 @@ def flagship_lineitem(spark, sf_dir):
     return p.group_by(p["l_returnflag"], p["l_linestatus"])(
         count_star().alias("lines"), sum_(q).alias("sum_qty"), avg(q).alias("avg_qty"), min_(price).alias("min_price"), max_(price).alias("max_price")
     )
+
+
+# What users add
+
+
+@query("SELECT o_orderkey, substr(o_orderstatus, 1, 1) || '-' || o_orderkey AS tag, o_orderkey % 10 > 6 AS high FROM orders")
+def custom_scalar_functions(spark, sf_dir):
+    plan = _table(spark, sf_dir, "orders")
+    tag = custom_scalar("tag", lambda s, k: F.concat(F.substring(s, 1, 1), F.lit("-"), k.cast("string")), lambda s, k: t.VARCHAR if s == t.VARCHAR and k == t.I64 else None)
+    high = custom_scalar("high", lambda k: k % 10 > 6, t.BOOLEAN)
+    return plan.project(plan["o_orderkey"], tag(plan["o_orderstatus"], plan["o_orderkey"]).alias("tag"), high(plan["o_orderkey"]).alias("high"))
+
+
+@query("SELECT o_orderstatus, bit_xor(o_orderkey)::BIGINT AS mixed, count(DISTINCT o_custkey)::BIGINT AS customers FROM orders GROUP BY o_orderstatus")
+def custom_aggregate_functions(spark, sf_dir):
+    plan = _table(spark, sf_dir, "orders")
+    mixed = custom_aggregate("bit_xor", F.bit_xor, lambda k: k if k == t.I64 else None)
+    distinct = custom_aggregate("distinct", F.count_distinct, t.I64)
+    return plan.group_by(plan["o_orderstatus"])(mixed(plan["o_orderkey"]).alias("mixed"), distinct(plan["o_custkey"]).alias("customers"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderkey)::INT AS place FROM orders")
+def custom_operator(spark, sf_dir):
+    plan = _table(spark, sf_dir, "orders")
+    within = Window.partitionBy("o_orderstatus", "o_custkey").orderBy("o_orderkey")
+    return plan.custom("RowNumber", lambda df: df.select("o_orderkey", "o_orderstatus", F.row_number().over(within).alias("place")))
+
+
+class Squares(DataSource):
+    """n, n * n for n in [0, count), in four partitions: how a source of one's own looks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "squares"
+
+    def schema(self) -> str:
+        return "n bigint, square bigint"
+
+    def reader(self, schema) -> DataSourceReader:
+        count = int(self.options["count"])
+
+        class Reader(DataSourceReader):
+            def partitions(self):
+                return [InputPartition((k * count // 4, (k + 1) * count // 4)) for k in range(4)]
+
+            def read(self, partition):
+                yield from ((n, n * n) for n in range(*partition.value))
+
+        return Reader()
+
+
+@query("SELECT range AS n, range * range AS square FROM range(1000) WHERE range % 3 <> 0")
+def custom_source_scan(spark, sf_dir):
+    plan = custom_source(spark, Squares, {"count": 1000})
+    return plan.filter(compare(arith(plan["n"], "%", const(3, t.I64)), "!=", const(0, t.I64)))

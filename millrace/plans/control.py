@@ -6,27 +6,35 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
-from millrace.errors import QueryCancelled
+from millrace.errors import InvalidParallelism, QueryCancelled
+from millrace.functions.expressions import Expr
 from millrace.plans.plan import BATCH_ROWS, Plan
+from millrace.types import BOOLEAN
 
 
 @dataclass
 class Query:
-    """One run of a plan in a thread of its own. Its jobs carry the query's id as their group."""
+    """One run of a plan in a thread of its own. Its jobs carry the query's id as their group.
+
+    parallelism: tasks at most that a shuffle's reading stage and the last stage have, in this query alone; None leaves that to the session.
+    """
 
     plan: Plan
     query_id: str = field(default_factory=lambda: f"millrace-{uuid.uuid4().hex[:12]}")
+    parallelism: int | None = None
     seconds: float = 0.0
     rows: int = 0
     batches: int = 0
 
     def __post_init__(self) -> None:
+        if self.parallelism is not None:
+            self.plan = limited(self.plan, self.parallelism)
         self._cancelled, self._thread, self._error = threading.Event(), None, None
 
     def start(self, handler: Callable[[list[Row]], None], size: int = BATCH_ROWS) -> Query:
@@ -81,6 +89,34 @@ class Query:
         return done / total if total else 0.0
 
 
+def limited(plan: Plan, tasks: int) -> Plan:
+    """The plan in a session of its own with so many shuffle partitions, and no more tasks at its end."""
+    if tasks < 1:
+        raise InvalidParallelism(str(tasks))
+    spark = plan.frame.sparkSession
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    own.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(tasks))
+    jvm = spark.sparkContext._jvm
+    frame = DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan.frame._jdf.queryExecution().logical()), own)
+    return replace(plan, frame=frame.coalesce(tasks))
+
+
+def expression_metrics(plan: Plan, *exprs: Expr) -> list[tuple[str, dict[str, float]]]:
+    """(expression, rows it was computed for, those that it isn't null for or, if it is boolean, selects, and seconds) in a run over the plan
+    for each: Spark compiles the expressions of a stage into one loop, so their times can't be told apart within one."""
+    out = []
+    for e in exprs:
+        found = F.count_if(e.column) if e.type == BOOLEAN else F.count(e.column)
+        began = time.monotonic()
+        row = plan.frame.agg(F.count(F.lit(1)).alias("rows"), found.alias("selected")).first()
+        out.append((e.label, {"rows": row["rows"], "selected": row["selected"], "seconds": time.monotonic() - began}))
+    return out
+
+
 def observed(plan: Plan, name: str | None = None) -> tuple[Plan, Observation]:
     """The plan, and what counts its rows while it runs: observation.get["rows"] once it has."""
     seen = Observation(name or f"rows-{uuid.uuid4().hex[:8]}")

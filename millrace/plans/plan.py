@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from enum import Enum
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql.datasource import DataSource
 
 from millrace.errors import FieldOutOfRange
 from millrace.functions.aggregates import Aggregate
@@ -13,6 +16,12 @@ from millrace.functions.expressions import DEFAULT, Expr, Options, field, intern
 from millrace.operators import aggregation, rows
 from millrace.types import LogicalType
 
+class Walk(Enum):
+    """How a walk goes on."""
+
+    ON, SKIP, STOP = range(3)
+
+
 #: Rows of a batch that a handler gets.
 BATCH_ROWS = 4096
 
@@ -64,6 +73,9 @@ class Plan:
         """group_by(keys...)(functions...)"""
         return lambda *functions, options=DEFAULT: aggregation.group_by(self, keys, functions, options)
 
+    def custom(self, name: str, transform: Callable[[DataFrame], DataFrame], fields: Mapping[str, LogicalType] | None = None) -> Plan:
+        return rows.custom(self, name, transform, fields)
+
     # Results
 
     def dataframe(self) -> DataFrame:
@@ -91,6 +103,11 @@ class Plan:
         """Calls handler with the rows of each partition where they are, in parallel."""
         self.dataframe().foreachPartition(handler)
 
+    def write_to(self, sink: type[DataSource], options: Mapping[str, object] | None = None, mode: str = "append") -> None:
+        """Writes the result by a sink of one's own: a class of Spark's Python data source interface, whose writer commits all tasks or none."""
+        self.frame.sparkSession.dataSource.register(sink)
+        self.dataframe().write.format(sink.name()).options(**(options or {})).mode(mode).save()
+
     # Display
 
     def tree(self) -> str:
@@ -107,11 +124,43 @@ class Plan:
         query = self.dataframe()._jdf.queryExecution()
         return query.explainString(self.frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
 
+    def apply(self, f: Callable[[Plan], Walk | None]) -> Walk:
+        """Calls f with the plan and then, in order, with what is below it. SKIP leaves out a plan's inputs, STOP ends the walk."""
+        return self.walk(down=f)
+
+    def walk(self, down: Callable[[Plan], Walk | None] | None = None, up: Callable[[Plan], Walk | None] | None = None) -> Walk:
+        """down is called before a plan's inputs are walked, up after. Where down says SKIP the inputs aren't, but up is called. Nothing returned is ON."""
+        said = (down and down(self)) or Walk.ON
+        if said is Walk.STOP:
+            return said
+        if said is Walk.ON:
+            for plan in self.inputs:
+                if plan.walk(down, up) is Walk.STOP:
+                    return Walk.STOP
+        return (up and up(self)) or Walk.ON
+
     def visit(self, visitor: Callable[[Plan], bool]) -> None:
         """Visits the plan and, as long as visitor returns true, its inputs."""
-        if visitor(self):
-            for plan in self.inputs:
-                plan.visit(visitor)
+        self.apply(lambda plan: Walk.ON if visitor(plan) else Walk.SKIP)
+
+    def pipelines(self) -> list[str]:
+        """The stretches between what must be gathered: each from a source, or the result of an aggregation, to a sink or the result."""
+        out: list[str] = []
+
+        def paths(plan: Plan) -> list[list[str]]:
+            name = re.split(r"[\[(]", plan.node)[0]
+            if not plan.inputs:
+                return [[f"Source({name})"]]
+            if name == "Union":  # dissolved: what follows it follows each of its inputs
+                return [p for i in plan.inputs for p in paths(i)]
+            below = [p for i in plan.inputs for p in paths(i)]
+            if name in ("Aggregate", "GroupBy"):
+                out.extend(" --> ".join([*p, f"Sink({name})"]) for p in below)
+                return [[f"Source({name})"]]
+            return [[*p, name] for p in below]
+
+        ends = paths(self)
+        return out + [" --> ".join(p) for p in ends]
 
     def show(self, n: int = 20) -> str:
         """The first rows in a box, under names and types, with Null for nulls."""

@@ -8,6 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource
 
 from millrace.errors import BlocksMismatch, EmptyMemoryTable, InvalidRange
 from millrace.functions.expressions import internal
@@ -50,10 +51,21 @@ def numbers(spark: SparkSession, start: int, count: int, partitions: int | None
     tasks = partitions or max(1, min(spark.sparkContext.defaultParallelism, -(-(end - start) // NUMBERS_PER_TASK)))
     if end < 1 << 63:
         return Plan(spark.range(start, end, 1, tasks).toDF(internal(0)), (Field("number", U64_NARROW),), f"Numbers({start}, {end - start})")
-    if end - start >= 1 << 63:
-        raise InvalidRange("2^63 numbers or more, beyond 2^63")
-    number = (F.col("id").cast("decimal(20,0)") + F.lit(Decimal(start)).cast("decimal(20,0)")).cast("decimal(20,0)")
-    return Plan(spark.range(0, end - start, 1, tasks).select(number.alias(internal(0))), (Field("number", U64),), f"Numbers({start}, {end - start})")
+    # Spark's ranges are of signed integers, so that more than 2^63 numbers are several ranges.
+    frame = None
+    for low in range(start, end, (1 << 63) - 1):
+        n = min(end - low, (1 << 63) - 1)
+        number = F.col("id").cast("decimal(20,0)") + F.lit(Decimal(low)).cast("decimal(20,0)")
+        part = spark.range(0, n, 1, tasks).select(number.cast("decimal(20,0)").alias(internal(0)))
+        frame = part if frame is None else frame.union(part)
+    return Plan(frame, (Field("number", U64),), f"Numbers({start}, {end - start})")
+
+
+def custom(spark: SparkSession, source: type[DataSource], options: Mapping[str, object] | None = None, logical: Mapping[str, LogicalType] | None = None) -> Plan:
+    """A source of one's own: a class of Spark's Python data source interface, whose partitions are read in parallel."""
+    spark.dataSource.register(source)
+    plan = dataframe(spark.read.format(source.name()).options(**(options or {})).load(), logical)
+    return Plan(plan.frame, plan.fields, f"{source.name()}")
 
 
 def dataframe(frame: DataFrame, logical: Mapping[str, LogicalType] | None = None) -> Plan:

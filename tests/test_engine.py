@@ -461,3 +461,115 @@ def test_streams_give_the_batch_result(spark, tmp_path):
         run_once(count_by_rest(stream_parquet(spark, source, schema)), str(tmp_path / "counts"), str(tmp_path / "c2"), "complete")
         assert sum(r["n"] for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == total
         spark.range(100, 150).write.mode("append").parquet(source)
+
+
+def test_custom_functions_check_types(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import custom_aggregate, custom_scalar
+
+    p = one(spark, [1, None, 3], t.I32)
+    twice = custom_scalar("twice", lambda x: x * 2, lambda x: x if x == t.I32 else None)
+    odd = custom_scalar("odd", lambda x: x % 2 == 1, t.BOOLEAN)
+    assert values(p.project(twice(p[0]), odd(p[0]))) == [(2, True), (None, False), (6, True)] and len(values(p.filter(odd(p[0])))) == 2
+    assert twice(p[0]).label == f"twice({p[0].label})"
+    product = custom_aggregate("product", lambda x: F.product(x), lambda x: t.F64 if x == t.I32 else None)
+    assert values(p.aggregate(product(p[0]))) == [(3.0,)]
+    with pytest.raises(e.UnsupportedInputs):
+        twice(const("a", t.VARCHAR))
+    with pytest.raises(e.ArgumentMismatch):
+        product(const("a", t.VARCHAR))
+
+
+def test_custom_operators_sources_and_sinks(spark, tmp_path):
+    from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+    from millrace.plans.catalog import Squares
+    from millrace.sources import custom
+
+    p = custom(spark, Squares, {"count": 100})
+    assert sorted(values(p)) == [(n, n * n) for n in range(100)]
+
+    def halve(batches):
+        for b in batches:
+            yield b.slice(0, b.num_rows // 2)
+
+    q = p.custom("Halve", lambda df: df.mapInArrow(halve, df.schema), {"n": t.I64, "square": t.I64})
+    assert 0 < len(values(q)) <= 50 and q.tree().startswith("Halve[n, square]")
+    with pytest.raises(e.FieldTypeMismatch):
+        p.custom("Bad", lambda df: df.select("n"), {"n": t.VARCHAR})
+
+    class Files(DataSource):
+        @classmethod
+        def name(cls):
+            return "files"
+
+        def writer(self, schema, overwrite):
+            folder = self.options["folder"]
+
+            class Writer(DataSourceWriter):
+                def write(self, rows):
+                    import uuid
+
+                    name = f"{folder}/{uuid.uuid4().hex}"
+                    with open(name, "w") as f:
+                        f.writelines(f"{r[0]}\n" for r in rows)
+                    return WriterCommitMessage()
+
+            return Writer()
+
+    p.write_to(Files, {"folder": str(tmp_path)})
+    assert sorted(int(x) for f in tmp_path.iterdir() for x in f.read_text().split()) == list(range(100))
+
+
+def test_walks_and_pipelines(spark):
+    from millrace.plans.plan import Walk
+
+    p = numbers(spark, 0, 100, partitions=4)
+    q = p.filter(compare(p[0], ">", const(5, t.U64_NARROW)))
+    q = p.union(q).aggregate(count_star().alias("n")).limit(1)
+    assert q.pipelines() == ["Source(Numbers) --> Sink(Aggregate)", "Source(Numbers) --> Filter --> Sink(Aggregate)", "Source(Aggregate) --> Limit"]
+    down, up = [], []
+    assert q.walk(lambda x: down.append(x.node.split("[")[0]), lambda x: up.append(x.node.split("[")[0])) is Walk.ON
+    assert [x.split("(")[0] for x in down] == ["Limit", "Aggregate", "Union", "Numbers", "Filter", "Numbers"]
+    assert [x.split("(")[0] for x in up] == ["Numbers", "Numbers", "Filter", "Union", "Aggregate", "Limit"]
+    seen = []
+    assert q.apply(lambda x: seen.append(x) or (Walk.SKIP if x.node == "Union" else Walk.ON)) is Walk.ON and len(seen) == 3
+    assert q.apply(lambda x: Walk.STOP if x.node == "Union" else None) is Walk.STOP
+
+
+def test_parallelism_and_expression_metrics(spark):
+    from millrace.plans.control import Query, expression_metrics, limited
+
+    p = numbers(spark, 0, 100_000, partitions=8)
+    keys = p.group_by(arith(p[0], "%", const(100, t.U8)))(count_star())
+    for plan, rows in ((keys, 100), (p, 100_000)):
+        few = limited(plan, 2)
+        assert few.frame.rdd.getNumPartitions() <= 2 and few.frame.count() == rows
+    got = []
+    assert Query(keys, parallelism=3).start(got.extend).wait(60).rows == 100 == len(got)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    with pytest.raises(e.InvalidParallelism):
+        Query(keys, parallelism=0)
+    half = compare(arith(p[0], "%", const(2, t.U8)), "==", const(0, t.U8)).alias("even")
+    (name, found), (_, all_) = expression_metrics(p, half, p[0])
+    assert name == "even" and found["rows"] == 100_000 and found["selected"] == 50_000 and found["seconds"] > 0 and all_["selected"] == 100_000
+
+
+def test_all_numbers(spark):
+    p = numbers(spark, 1, (1 << 64) - 1)
+    assert p.fields[0].type == t.U64 and p.frame.rdd.getNumPartitions() >= 2
+    last = numbers(spark, (1 << 64) - 5, 100)
+    assert [int(x[0]) for x in sorted(values(last))] == [(1 << 64) - 5 + i for i in range(4)]
+    whole = numbers(spark, 0, (1 << 64) - 1)
+    text = whole.explain("simple")
+    assert "Range (0, 9223372036854775807" in text and "Union" in text
+
+
+def test_far_limit_after_a_shuffle(spark):
+    p = numbers(spark, 0, 1000, partitions=7)
+    shuffled = dataframe(p.dataframe().repartition(5)).project(dataframe(p.dataframe())[0])
+    for offset, due in ((0, 1000), (990, 10), (1000, 0)):
+        assert len(values(shuffled.limit(1 << 40, offset))) == due
+    a, b = (set(values(shuffled.limit(1 << 40, k))) for k in (0, 400))
+    assert len(b) == 600 and b < a
