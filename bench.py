@@ -12,7 +12,7 @@ from millrace.plans.session import session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-NUMBERS = int(os.environ.get("BENCH_NUMBERS", 1_000_000_000))
+NUMBERS = int(os.environ.get("BENCH_NUMBERS", 10_000_000_000))
 REPEATS = int(os.environ.get("BENCH_REPEATS", 3))
 
 #: Name, share of NUMBERS, and rows and seconds of the published run on 32 threads.
