@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from millrace.llm.queries import rank_file
-from millrace.llm.shared import stored, table
+from millrace.llm.shared import forget, scratch, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage. What a stage leaves, besides its rows, is deleted after it, and its rows after the next one."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        with scratch(spark) as keep:
+            done = stored(stage(spark, docs, sf_dir), name)
+            keep(done)
+        if k:
+            forget(docs)
+        docs = done
     return docs
