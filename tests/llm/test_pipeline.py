@@ -72,5 +72,36 @@ def test_stages(spark, corpus, tmp_path):
 
 
 def test_run(spark, corpus):
+    """run() gives what the stages give one after another; test_stages holds each against a brute-force version."""
+    import os
+
+    from millrace.llm.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
     out = pipeline.run(spark, corpus)
-    assert {"doc_id", "n_tokens"} <= set(out.columns) and out.count() > 200
+    assert len(set(os.listdir(folder)) - before) == 1  # what the result reads
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, corpus)
+    key = lambda r: (r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"])
+    assert sorted(map(key, out.collect())) == sorted(map(key, docs.collect())) and out.count() > 200
+
+
+@pytest.mark.parametrize("case", ["no documents", "no labels", "other columns"])
+def test_run_of_odd_tables(spark, corpus, tmp_path, case):
+    docs, labels = (spark.read.parquet(f"{corpus}/{t}.parquet") for t in ("documents", "labels"))
+    if case == "no documents":
+        docs = docs.limit(0)
+    elif case == "no labels":
+        labels = labels.limit(0)
+    else:  # names that stages use themselves, and nulls in every column
+        docs = docs.selectExpr("*", "'x' AS h", "7 AS size", "doc_id AS id", "text AS sha", "1 AS copies", "'y' AS __gone").limit(60)
+        docs = docs.union(docs.limit(2).selectExpr(*[f"CAST(NULL AS {kind}) AS {c}" for c, kind in docs.dtypes])).union(docs.limit(2))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert (len(got) == 0) == (case == "no documents")
+    if case == "no labels":  # nothing is toxic then
+        assert len(got) > 200
