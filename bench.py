@@ -12,16 +12,17 @@ from millrace.plans.session import session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-NUMBERS = int(os.environ.get("BENCH_NUMBERS", 10_000_000_000))
+NUMBERS = int(os.environ.get("BENCH_NUMBERS", 4_000_000_000))
 REPEATS = int(os.environ.get("BENCH_REPEATS", 3))
 
+#: Beyond 4.29e9 numbers their sum leaves 64 bits, which is an error.
 #: Name, share of NUMBERS, and rows and seconds of the published run on 32 threads.
 PUBLISHED = {
     "numbers_filtered_count": (1.0, 1e11, 7.4),
     "numbers_filtered_count_star": (1.0, 1e11, 7.4),
     "numbers_filtered_minmax": (1.0, 1e11, 8.5),
     "numbers_avg_max_sum": (1.0, 1e11, 2.5),
-    "numbers_group_mod": (0.1, 1e10, 5.27),
+    "numbers_group_mod": (0.25, 1e10, 5.27),
 }
 TABLES = ("flagship_lineitem", "agg_global", "group_multi_key", "group_many_groups", "and_or_nulls", "regex_match_cs", "union_then_group", "arith_rem_mixed")
 
