@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import bound_batches
+
 #: Characters of text that one call of the library gets, so that memory does not follow the size of a batch.
 CALL_CHARS = 1 << 20
 #: Distinct pieces whose ids a worker remembers; it forgets all when there are more.
@@ -133,6 +135,7 @@ def encode(
     the ids are decoded again for decoded_sha256. ids_sha256 is that of the ids as little-endian 32-bit integers.
     offsets are (start, end) code points of each id; offsets_sha256 is that of their little-endian 32-bit integers. Repeated rows give repeated rows. Extra columns are not read.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     kinds = dict(docs.dtypes)
     schema = f"`{id_col}` {kinds[id_col]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, offsets_sha256 string"

@@ -18,6 +18,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Size up to which a table of short keys is broadcast, in rows and in bytes of memory; beyond it the join is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 48 << 20
 
+#: Bytes of an Arrow batch, about. A batch is held by the JVM and by the worker, which makes Python objects of it, so Spark's 64 MB are much.
+BATCH_BYTES = 4 << 20
+
 _scratch: ContextVar[list[str] | None] = ContextVar("millrace_scratch", default=None)
 _own_dirs: dict[str, str] = {}
 
@@ -37,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in batches of BATCH_BYTES, unless the session has a limit of its own. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import bound_batches, stored
 
 #: Categories in the order of the chain: name, and condition on a row of labels. The labels have these two; the verdict is the last link's,
 #: which the ones before it feed. Tables with more categories are trained with more conditions.
@@ -27,6 +27,8 @@ SAMPLE_ROWS = 8000
 #: Features for each category at most, how often they occur in the sample at least, and how surprising their share of positive rows is.
 FEATURES, LEAST_ROWS, LEAST_Z = 256, 4, 4.0
 FOLDS, PENALTY = 5, 0.05
+#: Texts whose features a worker holds at once.
+PART_ROWS = 500
 
 #: Stands after a feature that a text has twice or more, which is a feature of its own.
 TWICE = " 2"
@@ -87,9 +89,12 @@ class Chain:
             out[:, k] = _sigmoid(np.column_stack([x[:, columns], _odds(out[:, :k])]) @ w[:-1] + w[-1])
         return out
 
-
     def of_texts(self, texts: pa.Array) -> np.ndarray:
-        """[rows, categories] of whole texts. A text without words, or null, is of no category."""
+        """[rows, categories] of whole texts, so many at a time. A text without words, or null, is of no category."""
+        parts = [self._of_part(texts.slice(at, PART_ROWS)) for at in range(0, len(texts), PART_ROWS)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.names)))
+
+    def _of_part(self, texts: pa.Array) -> np.ndarray:
         x, empty = np.zeros((len(texts), len(self.vocabulary)), dtype=np.float32), np.zeros(len(texts), dtype=bool)
         for i, text in enumerate(texts):
             found = words_in(text.as_py())
@@ -138,6 +143,7 @@ def fit_chain(names: tuple[str, ...], vocabulary: Mapping[str, int], columns: tu
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: Mapping[str, str] = CATEGORIES, rows: int = SAMPLE_ROWS) -> Chain:
     """Fits the chain on at most so many labelled rows of docs. Label rows with a null are left out; of repeated ones the larger values count,
     and of documents that share an id the one whose words come first in order."""
+    bound_batches(docs.sparkSession)
     names = tuple(categories)
     flags = [F.max(F.expr(c).cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())]
     ys = [f"y{k}" for k in range(len(names))]
@@ -178,6 +184,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     Whole texts are read. A null or empty text has no words: it gets 0 and stays. Repeated rows give repeated
     rows; extra columns are not read. A chain without labels says 0 for all. Without a threshold the chain's own cut holds.
     """
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     names, at = [f"p_{n}" for n in chain.names], chain.names.index(verdict)
     threshold = chain.cut(verdict) if threshold is None else threshold
@@ -194,6 +201,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float | None = None, verdict: str = VERDICT) -> DataFrame:
     """The rows of docs that score() keeps, with all their columns; no shuffle, whatever the ids are."""
+    bound_batches(docs.sparkSession)
     at = chain.names.index(verdict)
     threshold = chain.cut(verdict) if threshold is None else threshold
     text_at = docs.columns.index(text_col)

@@ -581,6 +581,32 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     assert [(r["keep_id"], r["group_size"], r["kept"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(0, 2, True), (1, 1, True), (0, 2, False), (3, 2, True), (3, 2, False), (5, 1, True)]
 
 
+def test_results_do_not_depend_on_the_size_of_batches(spark, bpe_parts, monkeypatch):
+    from millrace.llm import bpe, near_dedup, shared, toxicity
+
+    key, rng = "spark.sql.execution.arrow.maxBytesPerBatch", random.Random(21)
+    texts = [*ODD, *(prose(rng, 40) + " grumblefink" * (i % 4 == 0) for i in range(60))]
+    texts += [t + " more" for t in texts[-20:]]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int("grumblefink" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+
+    def results():
+        chain = toxicity.train(docs, labels)
+        found = [toxicity.score(docs, chain), toxicity.drop_toxic(docs, chain), near_dedup.classify(docs), bpe.encode(docs, *bpe_parts)]
+        return [sorted(map(repr, rows(df))) for df in found]
+
+    try:
+        spark.conf.unset(key)
+        usual = results()
+        assert spark.conf.get(key) == str(shared.BATCH_BYTES)
+        spark.conf.set(key, "100")
+        monkeypatch.setattr(toxicity, "PART_ROWS", 3)
+        assert results() == usual
+        assert spark.conf.get(key) == "100"  # the session's own limit holds
+    finally:
+        spark.conf.unset(key)
+
+
 def test_intermediate_tables_are_deleted(spark):
     import os
 
