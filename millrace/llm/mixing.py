@@ -30,6 +30,8 @@ BLOCK_ROWS, GROUP_BLOCKS = 8192, 1024
 LANDING = 10
 #: The reserve can take or give up so many times the largest document, but has at most that share of the documents.
 RESERVE, RESERVE_SHARE = 2.0, 0.75
+#: Ways of moving the reserve's probabilities that are tried.
+TILTS = 21
 SEED = 17
 _EPS = 1e-9
 
@@ -115,26 +117,36 @@ def _land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _spread(pi: np.ndarray, size: np.ndarray, words: float) -> np.ndarray:
-    """Probabilities moved alike, as far as 0 and 1 allow, so that they expect so many words more."""
-    aim, low, high = float(pi @ size) + words, -1.0, 1.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if np.clip(pi + middle, 0, 1) @ size < aim else (low, middle)
-    return np.clip(pi + (low + high) / 2, 0, 1) if abs(words) > _EPS else pi
+    """Probabilities moved, as far as 0 and 1 allow, so that they expect so many words more, and as nearly as can be as many documents: larger
+    documents move more, by that of several tilts that changes the number of documents least."""
+    if abs(words) <= _EPS or not len(pi):
+        return pi
+    aim, best = float(pi @ size) + words, pi
+    for tilt in np.linspace(0, 2, TILTS):
+        base = pi + math.copysign(tilt, words) * (size - size.mean()) / max(size.max(), 1)
+        low, high = -4.0, 4.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.clip(base + middle, 0, 1) @ size < aim else (low, middle)
+        moved = np.clip(base + (low + high) / 2, 0, 1)
+        if best is pi or abs(moved.sum() - pi.sum()) < abs(best.sum() - pi.sum()):
+            best = moved
+    return best
 
 
 def _open(pi: np.ndarray) -> np.ndarray:
     return (pi > _EPS) & (pi < 1 - _EPS)
 
 
-def _reserve(pi: np.ndarray, size: np.ndarray, parts: int = 1) -> int:
-    """The place from which on documents, largest first, are the reserve. Each of several parts holds back less, for they come together."""
+def _reserve(pi: np.ndarray, size: np.ndarray, parts: int = 1, least: float = 0.0) -> int:
+    """The place from which on documents, largest first, are the reserve. Each of several parts holds back less, for they come together, but
+    room for so many words at least, which the source's largest document may need in another part."""
     if not len(pi):
         return 0
     some = int(np.searchsorted(-size, 0))  # documents without words are none, but come last
     room = np.cumsum((np.minimum(pi, 1 - pi) * size)[::-1])
     most = min(int(RESERVE_SHARE * len(pi)) + 1, some)
-    return some - min(most, int(np.searchsorted(room[len(pi) - some :], RESERVE * size[0] / math.sqrt(parts))) + LANDING)
+    return some - min(most, int(np.searchsorted(room[len(pi) - some :], max(RESERVE * size[0] / math.sqrt(parts), least))) + LANDING)
 
 
 def _settle(pi: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -162,8 +174,9 @@ def _settle(pi: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return _land(np.where(_open(pi), pi, pi.round()), size)
 
 
-def _flown(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """Rows of one group, one of so many: rank, key, size, pi, draw. The reserve of each source stays as it is; with 0 parts all are decided."""
+def _flown(rows: pd.DataFrame, parts: int, blocks: int = 1) -> pd.DataFrame:
+    """Rows of one of so many blocks, of which so many parts come together: rank, key, size, pi, draw, largest (of the source). The reserve of each
+    source stays as it is; with 0 parts all are decided."""
     rows = rows.sort_values(["rank", "size", "draw"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
     pi, size, draw, rank = (rows[c].to_numpy(dtype=t) for c, t in (("pi", float), ("size", float), ("draw", float), ("rank", np.int64)))
     edges = np.flatnonzero(np.diff(rank)) + 1
@@ -171,7 +184,7 @@ def _flown(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
         place = a + np.flatnonzero(_open(pi[a:b]))
         pi[a:b] = np.where(_open(pi[a:b]), pi[a:b], pi[a:b].round())
         if parts:
-            fly = place[: _reserve(pi[place], size[place], parts)]
+            fly = place[: _reserve(pi[place], size[place], parts, RESERVE * rows["largest"].iloc[a] / blocks)]
             pi[fly] = _fly(pi[fly], size[fly], draw[fly])
         else:
             pi[place] = _settle(pi[place], size[place], draw[place])
@@ -179,19 +192,21 @@ def _flown(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
     return rows
 
 
-def _flight(parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda rows: _flown(rows, parts)
+def _flight(parts: int, blocks: int = 1) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda rows: _flown(rows, parts, blocks)
 
 
 def _sampled(units: DataFrame) -> DataFrame:
     """Adds chosen (0 or 1) to units (rank, key, size, pi, draw), whose key is unique within rank."""
-    schema = units.schema
     n = units.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
+    if blocks > 1:
+        units = units.join(small(stored(units.groupBy("rank").agg(F.max("size").alias("largest")), "largest")), "rank")
+    schema = units.schema
     open_, decided = units, []
     keys: list = [F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(blocks)).alias("block")]
     while blocks > 1:
-        flown = stored(open_.groupBy(*keys).applyInPandas(_flight(min(blocks, GROUP_BLOCKS)), schema), "flown")
+        flown = stored(open_.groupBy(*keys).applyInPandas(_flight(min(blocks, GROUP_BLOCKS), blocks), schema), "flown")
         undecided = (F.col("pi") > 0) & (F.col("pi") < 1)
         decided.append(flown.filter(~undecided))
         open_ = flown.filter(undecided)
