@@ -776,6 +776,55 @@ def test_large_families_in_blocks(spark, monkeypatch):
     assert got == component and len(set(component.values())) > 5
 
 
+def left_join_rows(spark, run):
+    """Rows that left joins by id make while run() runs."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    ids = lambda found: [found.apply(k).executionId() for k in range(found.size())]
+    last, total = max(ids(store.executionsList()), default=-1), 0
+    run()
+    bus.waitUntilEmpty(30_000)
+    for i in ids(store.executionsList()):
+        if i <= last:
+            continue
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and re.search(r"\[id#\d+L?\], \[id#\d+L?\], LeftOuter", node.desc()):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_bands_are_joined_with_components_a_few_times(spark):
+    from millrace.llm import near_dedup
+
+    rng, texts = random.Random(13), []
+    base = prose(rng, 60).split()
+    for _ in range(300):  # chains of copies, of which each pivot finds some
+        w = list(base)
+        for i in rng.sample(range(60), rng.choice([2, 4, 6])):
+            w[i] = rng.choice(WORDS) + "z"
+        texts.append(" ".join(w))
+    got = {}
+    made = left_join_rows(spark, lambda: got.update({r["doc_id"]: r["component_id"] for r in rows(near_dedup.classify(frame(spark, texts), words=2))}))
+    assert got == brute_components(list(enumerate(texts)), 2)[0]
+    assert 0 < made < 3 * 42 * len(texts)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components_in_one_task_and_by_stars(spark, monkeypatch, most):
+    from millrace.llm import components
+
+    monkeypatch.setattr(components, "FEW_LINKS", most)
+    links = [(1, 2), (3, 2), (2, 2), (9, 8), (8, 7), (7, 9), (20, 11), (None, 4), (11, 20), *((k, k + 1) for k in range(100, 130))]
+    want = {2: 1, 3: 1, 8: 7, 9: 7, 20: 11} | dict.fromkeys(range(101, 131), 100)
+    for kind, of in (("long", int), ("string", lambda x: f"é{x:03d}")):
+        named = [tuple(x if x is None else of(x) for x in pair) for pair in links]
+        found = components.components(spark.createDataFrame(named, f"a {kind}, b {kind}"))
+        assert sorted((r["id"], r["root"]) for r in rows(found)) == sorted((of(a), of(b)) for a, b in want.items())
+        assert components.components(spark.createDataFrame([], f"a {kind}, b {kind}")).count() == 0
+
+
 def test_near_copies_of_repeated_and_missing_rows(spark):
     from millrace.llm.near_dedup import classify, drop_near_copies
 
