@@ -808,7 +808,7 @@ def test_bands_are_joined_with_components_a_few_times(spark):
     got = {}
     made = left_join_rows(spark, lambda: got.update({r["doc_id"]: r["component_id"] for r in rows(near_dedup.classify(frame(spark, texts), words=2))}))
     assert got == brute_components(list(enumerate(texts)), 2)[0]
-    assert 0 < made < 3 * 42 * len(texts)
+    assert 0 < made < 42 * len(texts) + len(texts)  # each band's rows once, and each class
 
 
 @pytest.mark.parametrize("most", [0, 1000])
