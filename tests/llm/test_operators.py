@@ -811,6 +811,22 @@ def test_bands_are_joined_with_components_a_few_times(spark):
     assert 0 < made < 42 * len(texts) + len(texts)  # each band's rows once, and each class
 
 
+def test_small_tables_of_near_copies_are_held_not_written(spark, monkeypatch):
+    from millrace.llm import components, near_dedup, shared
+
+    written, cached, store = [], [], shared.stored
+    for module in (components, near_dedup):
+        monkeypatch.setattr(module, "stored", lambda df, name="rows": written.append(name) or store(df, name))
+    left = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    hold, before = near_dedup.held, left()
+    monkeypatch.setattr(near_dedup, "held", lambda df: cached.append(1) or hold(df))
+    texts = families(random.Random(17), 12, 8, 0.12)
+    got = {r["doc_id"]: r["component_id"] for r in rows(near_dedup.classify(frame(spark, texts), words=2))}
+    assert got == brute_components(list(enumerate(texts)), 2)[0]
+    assert cached and set(written) <= {"sketches", "classes", "members", "sets", "likely", "found", "links", "rooted", "open", "moved", "rows"}
+    assert left() == before  # and let go of at the end
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_components_in_one_task_and_by_stars(spark, monkeypatch, most):
     from millrace.llm import components
